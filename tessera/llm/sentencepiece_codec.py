@@ -207,8 +207,10 @@ class PieceModel:
         return text[1:] if text[:1] == " " else text
 
 
-#: One model for each worker process and file.
-model_of = lru_cache(maxsize=2)(PieceModel)
+@lru_cache(maxsize=2)
+def model_of(path: str) -> PieceModel:
+    """One model for each worker process and file."""
+    return PieceModel(path)
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

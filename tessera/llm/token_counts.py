@@ -94,8 +94,10 @@ class MergeCounter:
         return len(parts) - 1 + sum(sum(map(known, self.chunks(p))) for p in parts)
 
 
-#: One counter for each worker process and vocabulary.
-counter_of = lru_cache(maxsize=2)(MergeCounter)
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> MergeCounter:
+    """One counter for each worker process and vocabulary."""
+    return MergeCounter(path)
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
