@@ -1,3 +1,46 @@
 """DuckDB statements for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+EXACT_DEDUP = r"""
+WITH rows AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER w AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept,
+       sha256(norm) AS text_sha256
+FROM rows
+WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+MIXING = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS place
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::DOUBLE AS source_size FROM rows GROUP BY source
+), weighted AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS full_size,
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1]::DOUBLE AS weight
+  FROM sources
+), parts AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(full_size) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS rest_weight
+  FROM weighted
+  WINDOW w AS (ORDER BY full_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), marked AS (
+  SELECT *, full_size * rest_weight <= rest * weight AS is_full FROM parts
+), level AS (
+  SELECT arg_max(rest, rest_weight) AS rest, max(rest_weight) AS rest_weight FROM marked WHERE NOT is_full
+), goals AS (
+  SELECT source, source_size, CASE WHEN is_full THEN full_size ELSE level.rest * weight / level.rest_weight END AS target FROM marked, level
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows
+)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target + 0.5) / source_size) * size
+         + greatest(0, least(size, floor(target + 0.5) - floor(floor(target + 0.5) / source_size) * source_size - start)) END)::BIGINT AS taken
+FROM placed JOIN goals ON placed.source IS NOT DISTINCT FROM goals.source
+"""
+
+SQL: dict[str, str] = {"op4_exact_dedup": EXACT_DEDUP, "op6_mixing": MIXING}

@@ -34,6 +34,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.exact_dedup import exact_groups
+
+    return exact_groups(documents(spark, sf_dir))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import shards
+
+    return shards(documents(spark, sf_dir))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mixed
+
+    return mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pseudonyms import pseudonymise
 
@@ -53,7 +71,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")  and callable(f) and k[2].isdigit()}
+    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
