@@ -34,6 +34,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dedup import near_groups
+
+    return near_groups(documents(spark, sf_dir), width=2)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_groups
 
