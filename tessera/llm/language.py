@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,5 +118,17 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(rows, make, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, whose language is known: neither `und` nor ambiguous."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        predict = held.value.predict
+        return pd.Series([lang != UNKNOWN and not ambiguous for lang, _, ambiguous in map(predict, texts)], dtype=bool)
+
+    return docs.where(known(F.col(text_col).cast("string")))
+
+
 def language(docs: DataFrame, sample: int = 2000) -> DataFrame:
     return identify(docs, learn(docs, sample))
