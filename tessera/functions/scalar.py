@@ -455,7 +455,9 @@ def evaluate(e, lookup: Callable[[str], E | None], exists: Callable[[tuple], Col
                 return E(F.when(c, poly(a)).when(~c, poly(b)), VT("poly"))
             return E(F.when(c, to(a, vt)).when(~c, to(b, vt)), vt)
         if name == "COALESCE":
-            parts = [go(x) for x in args]
+            parts = [go(x) for x in args if not (isinstance(x, Var) and lookup(x.name) is None)]
+            if not parts:
+                return error(TEXT)
             vt = parts[0].vt
             for x in parts[1:]:
                 vt = common(vt, x.vt)

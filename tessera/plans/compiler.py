@@ -60,8 +60,10 @@ class Compiler(PathMixin):
 
     def scan(self, triples: list[tuple[tuple, Partition]], graphs: Graphs) -> Rel:
         """One scan of a source for the triples of one subject, each with its partition."""
+        return self._scan_from(self.catalog.frame(triples[0][1].source), triples, graphs, [])
+
+    def _scan_from(self, df: DataFrame, triples: list[tuple[tuple, Partition]], graphs: Graphs, also: list[str]) -> Rel:
         parts = [p for _, p in triples]
-        df = self.catalog.frame(parts[0].source)
         names: dict[str, E] = {}
         conditions = [F.expr(w) for w in dict.fromkeys(p.where for p in parts if p.where)]
         seen_null: set[str] = set()
@@ -105,9 +107,42 @@ class Compiler(PathMixin):
         if conditions:
             df = df.where(both(conditions))
         size = self.catalog.size(parts[0].source) * (0.1 if any(not isinstance(x, Var) for (s, _, o), p in triples for x, t in ((s, p.subject), (o, p.object)) if t.const is None) else 1.0)
-        if not names:
+        if not names and not also:
             return Rel(df.select(F.lit(1).alias("__unit")), {}, size)
-        return Rel(df.select(*[e.col.alias(n) for n, e in names.items()]), {n: e.vt for n, e in names.items()}, size)
+        return Rel(df.select(*[e.col.alias(n) for n, e in names.items()], *also), {n: e.vt for n, e in names.items()}, size)
+
+    def scans(self, t: tuple, found: list[Partition], graphs: Graphs) -> list[Rel]:
+        """Scans of one triple pattern: partitions of the same rows are read together, the objects of a row side by side and then made into rows."""
+        s, _, o = t
+        groups: dict[tuple, list[Partition]] = {}
+        for p in found:
+            together = isinstance(s, (Var, Iri)) and isinstance(o, Var) and not (isinstance(s, Var) and s.name == o.name) and not (isinstance(t[1], Var) and t[1].name in (o.name, getattr(s, "name", None)))
+            groups.setdefault((p.source, p.subject, p.graph, p.graphs) if together else (id(p),), []).append(p)
+        return [self.scan([(t, g[0])], graphs) if len(g) == 1 else self.scan_rows(t, g, graphs) for g in groups.values()]
+
+    def scan_rows(self, t: tuple, parts: list[Partition], graphs: Graphs) -> Rel:
+        s, p, o = t
+        objects = [E(x.object.column(), self.vt_of(x.object)) for x in parts]
+        vt = objects[0].vt
+        for e in objects[1:]:
+            vt = common(vt, e.vt)
+        # the subject and the graph are found as for one triple; the objects go along
+        first = replace(parts[0], object=TermMap("iri", const="x"), where=None)
+        df = self.catalog.frame(first.source)
+        pairs = []
+        for x, e in zip(parts, objects):
+            held = to(e, vt)
+            held = F.when(F.expr(x.where), held) if x.where else held
+            pairs.append(F.struct(F.lit(x.predicate).alias("p"), held.alias("o")))
+        wide = df.withColumn("__pairs", F.array(*pairs))
+        base = self._scan_from(wide, [((s, Iri(first.predicate), Iri("x")), first)], graphs, ["__pairs"])
+        rows = base.df.select(*[F.col(f"`{n}`") for n in base.vt], F.explode("__pairs").alias("__pair")).where("__pair.o is not null")
+        made = [F.col(f"`{n}`") for n in base.vt] + [F.col("__pair.o").alias(o.name)]
+        types = base.vt | {o.name: vt.bound()}
+        if isinstance(p, Var):
+            made.append(F.col("__pair.p").alias(p.name))
+            types[p.name] = VT("iri")
+        return Rel(rows.select(*made), types, base.size * len(parts))
 
     def empty(self, names: list[str]) -> Rel:
         cols = [F.lit(None).cast("string").alias(n) for n in names] or [F.lit(1).alias("__unit")]
@@ -131,7 +166,7 @@ class Compiler(PathMixin):
                 p = found[0]
                 stars.setdefault((t[0], p.source, p.subject, p.graph if graphs.var or graphs.one else None, p.graphs), []).append((t, p))
             else:
-                rels.append(union([self.scan([(t, p)], graphs) for p in found]))
+                rels.append(union(self.scans(t, found, graphs)))
         rels += [self.scan(star, graphs) for star in stars.values()]
         return self.joined(rels)
 
@@ -478,15 +513,20 @@ class Compiler(PathMixin):
         names = [x.name for x in q.described if isinstance(x, Var)] or ([] if terms else [n for n in variables(q.where) if not n.startswith("__")])
         if names:
             r = self.solutions(q, g)
-            resources += [Rel(r.df.select(output(r.e(n)).alias("__s")), {"__s": VT("iri", opt=True)}, r.size) for n in names if n in r.vt and r.vt[n].kind == "iri"]
+            resources += [Rel(r.df.select(F.col(f"`{n}`").alias("__s")), {"__s": r.vt[n]}, r.size) for n in names if n in r.vt and r.vt[n].kind == "iri"]
         out = []
         for t in terms:
             found = self.bgp([(t, Var("__p"), Var("__o"))], g)
             out.append(self.construct([(t, Var("__p"), Var("__o"))], found))
         if resources:
             wanted = union(resources)
-            wanted = Rel(wanted.df.where("__s is not null").distinct(), {"__s": VT("iri")}, wanted.size)
-            out.append(self.construct([(Var("__s"), Var("__p"), Var("__o"))], join(wanted, self.bgp([(Var("__s"), Var("__p"), Var("__o"))], g))))
+            wanted = Rel(wanted.df.where("__s is not null").distinct(), {"__s": wanted.vt["__s"].bound()}, wanted.size)
+            triple = (Var("__s"), Var("__p"), Var("__o"))
+            for r in self.scans(triple, self.partitions(*triple, g), g):
+                if r.vt["__s"].kind == "iri" and same_term(wanted.e("__s"), r.e("__s")) is not None:
+                    out.append(self.construct([triple], join(wanted, r)))
+        if not out:
+            return self.construct([], unit(self.spark))
         made = out[0]
         for x in out[1:]:
             made = made.unionAll(x)
