@@ -26,29 +26,42 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return accepted(docs, learn(docs))
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column has them."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in docs.columns):
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha_own", F.sha2(F.regexp_replace(text_or_empty(), SPACES, ""), 256))
-    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_sha_own"]).select(*docs.columns)
+    ident, sha, own = _free(docs, "_id", "_sha", "_own")
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(sha)).distinct()
+    marked = docs.withColumn(own, F.sha2(F.regexp_replace(text_or_empty(), SPACES, ""), 256))
+    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(sha)), "left_semi")
+    return joined.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    (ident,) = _free(docs, "_id")
+    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias(ident)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is taken; where the budget ends inside a document, its first words."""
-    taken = mixed(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    sized = docs.withColumn("_own", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    times = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_size")))
-    parts = times.withColumn("_words", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size"))), lambda i: F.least(F.col("_size"), F.col("_taken") - (i - 1) * F.col("_size")))))
-    cut = F.col("_words") < F.col("_size")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
+    ident, size, taken, own, words = _free(docs, "_id", "_size", "_taken", "_own", "_words")
+    plan = mixed(docs).where("taken > 0").groupBy(F.col("doc_id").alias(ident), F.col("size").alias(size)).agg(F.max("taken").alias(taken))
+    sized = docs.withColumn(own, F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    times = sized.join(plan, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(size)))
+    epochs = F.sequence(F.lit(1).cast("long"), F.ceil(F.col(taken) / F.col(size)))
+    parts = times.withColumn(words, F.explode(F.transform(epochs, lambda i: F.least(F.col(size), F.col(taken) - (i - 1) * F.col(size)))))
+    cut = F.col(words) < F.col(size)
+    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), " ")).otherwise(F.col("text"))
     out = parts.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
