@@ -84,6 +84,11 @@ def read_lines(spark: SparkSession, paths: list[tuple[str, int]], strict: bool =
     lines = parts[0]
     for x in parts[1:]:
         lines = lines.unionAll(x)
+    return quads_of_lines(lines, strict)
+
+
+def quads_of_lines(lines: DataFrame, strict: bool, also: list[str] | None = None) -> DataFrame:
+    """Quads of lines (value, n), by regular expressions alone; strict: a line that is no statement stops the query, else it is left out."""
     part = lambda i: F.nullif(F.regexp_extract("value", LINE, i), F.lit(""))
     ok = F.col("value").rlike(LINE)
     if strict:
@@ -97,7 +102,7 @@ def read_lines(spark: SparkSession, paths: list[tuple[str, int]], strict: bool =
         F.coalesce(unescaped(part(1)), label(part(2))).alias("s"), F.when(part(1).isNotNull(), F.lit("iri")).otherwise(F.lit("bnode")).alias("s_kind"), unescaped(part(3)).alias("p"),
         F.when(literal, unescaped(F.regexp_extract("value", LINE, 6))).otherwise(F.coalesce(unescaped(part(4)), label(part(5)))).alias("o_lex"),
         F.when(literal, F.lit("literal")).when(part(4).isNotNull(), F.lit("iri")).otherwise(F.lit("bnode")).alias("o_kind"),
-        F.when(literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(STRING)))).alias("o_dt"), F.when(literal, lang).alias("o_lang"), unescaped(part(9)).alias("g"),
+        F.when(literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(STRING)))).alias("o_dt"), F.when(literal, lang).alias("o_lang"), unescaped(part(9)).alias("g"), *(also or []),
     )
 
 
