@@ -11,7 +11,6 @@ one; other columns are ignored, whatever their names; an empty table gives an em
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -53,11 +52,10 @@ class MergeCounter:
         special = [t["content"] for t in spec.get("added_tokens", ())]
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         # the vocabulary's white space is Unicode's property; the module's \s also holds U+001C to U+001F
-        space = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        # no pre-token holds white space after anything else, so a text can be cut there, and a memo can keep the counts of such chunks
-        self.chunks = re.compile(f"[{space}]*[^{space}]+|[{space}]+").findall
         self.pieces = regex.compile(PRETOKEN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
-        self.memo = Memo(lambda chunk: sum(self.merge(p.encode("utf-8", "surrogatepass")) for p in self.pieces(chunk)), memo)
+        self.odd = regex.compile("[^\\P{White_Space} \n]").search
+        self.memo = Memo(self._chunk, memo)
+        self.piece_memo = Memo(lambda piece: self.merge(piece.encode("utf-8", "surrogatepass")), memo // 4)
 
     def merge(self, piece: bytes) -> int:
         n = len(piece)
@@ -86,12 +84,22 @@ class MergeCounter:
                 heappush(heap, rank[p] * n + h)
         return n - merges
 
+    def _chunk(self, word: str) -> int:
+        """The count of a word after a space, or after a line break where it begins with one."""
+        return sum(self.merge(p.encode("utf-8", "surrogatepass")) for p in self.pieces(word if word[0] == "\n" else " " + word))
+
+    def _plain(self, text: str) -> int:
+        """The count of a text without special strings. A pre-token begins wherever white space follows something else, so words are counted for themselves."""
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words or "\n" in words or self.odd(text):  # runs of white space, or rarer kinds
+            return sum(map(self.piece_memo.__getitem__, self.pieces(text)))
+        return sum(map(self.piece_memo.__getitem__, self.pieces(words[0]))) + sum(map(self.memo.__getitem__, words[1:]))
+
     def count(self, text: str) -> int:
-        known = self.memo.__getitem__
         if self.special is None or not self.special.search(text):
-            return sum(map(known, self.chunks(text)))
+            return self._plain(text)
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(sum(map(known, self.chunks(p))) for p in parts)
+        return len(parts) - 1 + sum(map(self._plain, parts))
 
 
 @lru_cache(maxsize=2)
