@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog, Partition, TermMap
-from tessera.sources.rdf import QUAD, read_files, read_lines, syntax_of
+from tessera.sources.rdf import QUAD, by_line, read_files, read_lines
 from tessera.terms import LANG_STRING, NATIVE
 from tessera.values import parsed, physical
 
@@ -49,11 +49,10 @@ def read_quads(spark: SparkSession, files: list[tuple[str, str]], strict: bool =
     lines, whole, parts = {}, {}, []
     for n, (path, graph) in enumerate(files):
         try:
-            kind = syntax_of(path)
+            lines_of = by_line(path)
         except ValueError as e:
             raise LoadError(UNKNOWN_FORMAT, str(e)) from e
-        by_line = kind in ("ntriples", "nquads") and not path.endswith(".xz")
-        (lines if by_line else whole).setdefault(graph, []).append((path, graph, n))
+        (lines if lines_of else whole).setdefault(graph, []).append((path, graph, n))
     for graph, own in lines.items():
         parts.append(read_lines(spark, [(p, n) for p, _, n in own], strict).withColumn("g", F.coalesce("g", F.lit(graph))))
     for graph, own in whole.items():

@@ -76,7 +76,7 @@ LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?
 
 
 def read_lines(spark: SparkSession, paths: list[tuple[str, int]], strict: bool = True) -> DataFrame:
-    """N-Triples and N-Quads by Spark's text reader, which decompresses gz, bz2, lz4 and zst and splits what can be split."""
+    """N-Triples and N-Quads by Spark's text reader, which decompresses gz and bz2 and splits what can be split."""
     parts = []
     for path, n in paths:
         lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
@@ -450,15 +450,43 @@ def rdf_xml(data: bytes, base: str = "") -> Iterator[tuple]:
         yield s, p, o, None
 
 
+_LINE = re.compile(LINE)
+
+
+def statements(data: bytes) -> Iterator[tuple]:
+    """N-Triples and N-Quads in files that Spark's text reader can't decompress."""
+    for line in io.TextIOWrapper(io.BytesIO(data), "utf-8", newline="\n"):
+        line = line.strip()
+        if not line or line[0] == "#":
+            continue
+        m = _LINE.match(line)
+        if not m:
+            raise RdfError(f"not a statement: {line[:200]!r}")
+        s, sb, p, o, ob, lex, lang, dt, g = m.groups()
+        subject = BNode(sb) if s is None else Iri(unescape(s))
+        if o is None and ob is None:
+            obj = Lit(unescape(lex), LANG_STRING, lang.lower()) if lang else Lit(unescape(lex), dt or STRING)
+        else:
+            obj = BNode(ob) if o is None else Iri(unescape(o))
+        yield subject, Iri(unescape(p)), obj, None if g is None else unescape(g)
+
+
+def by_line(path: str) -> bool:
+    """Whether Spark's text reader can read it: lines, plain or by a codec that needs no native library."""
+    return syntax_of(path) in ("ntriples", "nquads") and path.lower().rsplit(".", 1)[-1] not in ("xz", "lz4", "zst", "zstd")
+
+
 def parse_file(data: bytes, path: str, base: str) -> Iterator[tuple]:
     data = decompressed(data, path)
     if syntax_of(path) == "rdfxml":
         return rdf_xml(data, base)
+    if syntax_of(path) in ("ntriples", "nquads"):
+        return statements(data)
     return Turtle(data.decode("utf-8"), base).quads()
 
 
 def read_files(spark: SparkSession, files: list[tuple[str, str, int]], strict: bool = True) -> DataFrame:
-    """Turtle, TriG, RDF/XML (and xz-compressed lines): one task reads a file whole. files: path, base, number."""
+    """Turtle, TriG, RDF/XML (and lines under xz, lz4 or zst): one task reads a file whole. files: path, base, number."""
     listed = spark.createDataFrame(files, "path string, base string, n int")
     parts = [spark.read.format("binaryFile").load(path).select("content", F.lit(path).alias("path")) for path, _, _ in files]
     data = parts[0]

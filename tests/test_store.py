@@ -164,12 +164,13 @@ def test_syntaxes_and_codecs(spark, tmp_path):
     framed = pa.BufferOutputStream()
     with pa.CompressedOutputStream(framed, "lz4") as f:
         f.write(TURTLE.encode())
-    files = {"a.nt": nt, "b.nt.gz": gzip.compress(nt), "c.nt.bz2": bz2.compress(nt), "d.nt.xz": lzma.compress(nt), "e.ttl": TURTLE.encode(), "f.rdf.gz": gzip.compress(RDFXML.encode()), "g.ttl.zst": zstandard.compress(TURTLE.encode()), "h.ttl.lz4": framed.getvalue().to_pybytes()}
+    files = {"a.nt": nt, "b.nt.gz": gzip.compress(nt), "c.nt.bz2": bz2.compress(nt), "d.nt.xz": lzma.compress(nt), "e.ttl": TURTLE.encode(), "f.rdf.gz": gzip.compress(RDFXML.encode()), "g.ttl.zst": zstandard.compress(TURTLE.encode()), "h.ttl.lz4": framed.getvalue().to_pybytes(), "i.nq.zst": zstandard.compress(b'<http://e/a> <http://e/p> "\\u0041\\n"@EN <http://e/g> . # end\n')}
     for name, data in files.items():
         (tmp_path / name).write_bytes(data)
     quads = read_quads(spark, [(f"file:{tmp_path}/{n}", GRAPH) for n in files])
     rows = quads.collect()
-    assert len(rows) == 4 + 3 * 15 + 16
+    assert len(rows) == 4 + 3 * 15 + 16 + 1
+    assert [(r['o_lex'], r['o_lang']) for r in rows if r['g'] == 'http://e/g'] == [('A\n', 'en')]
     assert len({r["o_lex"] for r in rows if r["p"] == "http://e/p" and r["o_kind"] == "bnode"}) == 4  # labels are of their file
 
 
