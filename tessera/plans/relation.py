@@ -50,21 +50,23 @@ def join(a: Rel, b: Rel, how: str = "inner", extra=None) -> Rel:
     """Joins compatible solutions. extra(lookup) gives a further condition. how: inner or left.
 
     A variable that can't be unbound on either side is an equality, so Spark can hash or merge. In an inner join, variables that
-    can be unbound are taken apart into bound and unbound rows, so that each part is an equality join too.
+    can be unbound are taken apart into bound and unbound rows, so that each part is an equality join too; in a left join, those that can be
+    unbound on the left side only.
     """
     shared = [n for n in a.vt if n in b.vt]
     loose = [n for n in shared if a.vt[n].opt or b.vt[n].opt]
     if how == "inner" and loose and len(loose) <= 2 and extra is None:
         return _join_apart(a, b, loose)
+    if how == "left" and loose and len(loose) <= 2 and not any(b.vt[n].opt for n in loose):
+        return union([join(_parted(a, loose, bound), b, how, extra) for bound in product((True, False), repeat=len(loose))])
     left, right = _renamed(a, "l_"), _renamed(b, "r_")
-    conditions, values, never = [], {}, False
+    conditions, values = [], {}
     for n in shared:
         cond, value = _match(a, b, n, n in loose)
         if how == "left":
             x, y = E(F.col(f"`l_{n}`"), a.vt[n]), E(F.col(f"`r_{n}`"), b.vt[n])
             vt = common(x.vt, y.vt) if a.vt[n].opt else a.vt[n]
             value = E(F.coalesce(to(x, vt), to(y, vt)) if a.vt[n].opt else x.col, replace(vt, opt=a.vt[n].opt))
-        never |= cond is None
         conditions.append(F.lit(False) if cond is None else cond)
         values[n] = value
     for n in a.vt:
@@ -97,6 +99,12 @@ def _join_apart(a: Rel, b: Rel, loose: list[str]) -> Rel:
     return union(parts)
 
 
+def _parted(r: Rel, names: list[str], bound: tuple[bool, ...]) -> Rel:
+    for n, x in zip(names, bound):
+        r = _part(r, n, x)
+    return r
+
+
 def _part(r: Rel, name: str, bound: bool) -> Rel:
     if not r.vt[name].opt:
         return r

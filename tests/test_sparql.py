@@ -52,6 +52,7 @@ def got(store, text, **kw):
         ("SELECT ?s ?n WHERE { ?s e:knows ?x OPTIONAL { ?s e:name ?n } }", [("http://e/a", "Ann"), ("http://e/b", 'Bob, "B"'), ("http://e/c", None), ("http://e/c", None)]),
         ("SELECT ?s WHERE { ?s e:knows ?x OPTIONAL { ?s e:name ?n } FILTER(!BOUND(?n)) }", [("http://e/c",), ("http://e/c",)]),
         ("SELECT ?s ?n WHERE { VALUES ?s { e:a e:c } OPTIONAL { ?s e:name ?n } ?t e:name ?n }", [("http://e/a", "Ann"), ("http://e/c", "Ann"), ("http://e/c", 'Bob, "B"')]),
+        ("SELECT ?s ?n ?a WHERE { VALUES ?s { e:a e:c } OPTIONAL { ?s e:name ?n } OPTIONAL { ?t e:name ?n ; e:age ?a } }", [("http://e/a", "Ann", "30"), ("http://e/c", "Ann", "30"), ("http://e/c", 'Bob, "B"', "31.5")]),
         ("SELECT ?s WHERE { ?s e:knows ?o MINUS { ?s e:name ?n } }", [("http://e/c",), ("http://e/c",)]),
         ("SELECT ?s WHERE { ?s e:name ?n FILTER EXISTS { ?s e:knows ?o . ?o e:name ?m } }", [("http://e/a",)]),
         ("SELECT ?p WHERE { e:d ?p ?o }", [("http://e/born",), ("http://e/score",)]),
