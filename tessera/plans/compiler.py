@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog, Partition, TermMap
 from tessera.functions.scalar import evaluate, truth
+from tessera.lineage import settled
 from tessera.operators.paths import PathMixin
 from tessera.plans.relation import Rel, both, join, minus, semi, union
 from tessera.sparql.parser import Query, SparqlError, mentioned, variables
@@ -220,7 +221,7 @@ class Compiler(PathMixin):
             extra = None
             if p[3] is not None:
                 if _has_exists(p[3]):
-                    raise SparqlError("EXISTS in the condition of OPTIONAL is not supported")
+                    return self._optional_exists(a, b, p[3], g)
                 extra = lambda look: F.coalesce(truth(self.value(p[3], look)), F.lit(False))
             return join(a, b, "left", extra)
         if kind == "filter":
@@ -248,6 +249,14 @@ class Compiler(PathMixin):
             raise NotImplementedError("SERVICE would need a network")
         raise SparqlError(f"no pattern {kind}")
 
+    def _optional_exists(self, a: Rel, b: Rel, e, g: Graphs) -> Rel:
+        """OPTIONAL whose condition holds an EXISTS: the joined rows that meet it, and the left rows that have none. Left rows are numbered once and settled."""
+        rows = Rel(settled(a.df.withColumn("__row", F.monotonically_increasing_id())), a.vt | {"__row": lit(INTEGER)}, a.size)
+        met = self.filtered(e, join(rows, b), g)
+        rest = semi(rows, met.keep(["__row"]), "left_anti")
+        out = union([met, rest])
+        return out.keep([n for n in out.vt if n != "__row"])
+
     def _flat(self, p: tuple) -> list:
         return self._flat(p[1]) + self._flat(p[2]) if p[0] == "join" else [p]
 
