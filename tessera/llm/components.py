@@ -26,13 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of each node that has an edge; label is the least node of its component. Null ends and loops are ignored."""
     now = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    state = None
     while True:
         now = written(_small_star(written(_large_star(now), "large")), "small")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("u") != F.col("v")).cast("long"))).first()
-        # when nothing moves any more, every node points at its least
-        if mark == state:
+        # done when all is stars: every node points at one other, and none that is pointed at points on
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("points"), F.lit(0).alias("pointed")).unionByName(now.select(F.col("v").alias("node"), F.lit(0).alias("points"), F.lit(1).alias("pointed")).distinct())
+        if ends.groupBy("node").agg(F.sum("points").alias("points"), F.max("pointed").alias("pointed")).where("points + pointed > 1").isEmpty():
             break
-        state = mark
     pointed = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return written(pointed.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), "labels")

@@ -7,8 +7,8 @@ similarity, and pairs well below the threshold (by `slack`, over five standard e
 
 No bucket is expanded into all its pairs. First every member is paired with its bucket's least and greatest member, and of those
 the two of the highest estimate are confirmed; then those of the others that would join two components; last, in buckets whose members are still of
-several components, the members outside the most frequent one are paired with those of other components. Pairs within a component can add
-nothing, so no link between components is left out. A pair at the threshold shares no bucket with a probability of 3e-7 (defaults).
+several components, the members outside the most frequent one are paired with those of other components; before that, those go that can
+link with no other component, as more than a fifth of their shingles stand in no text of another component in such buckets. Pairs within a component can add nothing, so no link between components is left out. A pair at the threshold shares no bucket with a probability of 3e-7 (defaults).
 
 Results for odd rows: a null text and one without words have an empty set, n_shingles 0, and are linked with nothing; a text of fewer words
 than a shingle has its whole sequence as its one shingle; rows that repeat doc_id and text are in one class; a null doc_id gives a null component_id and
@@ -151,6 +151,25 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled(labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").drop("label_a", "label_b")
 
 
+def linkable(texts: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the ids those at least `percent` of whose shingles stand in texts of another component too: any link between components needs as much."""
+
+    def make():
+        code = Memo(hash64)
+
+        def step(c: dict[str, list]) -> dict[str, object]:
+            return {"id": c["id"], "label": c["label"], "shingles": pa.array([shingle_set(t, code, width).view(np.int64) for t in c["text"]], pa.list_(pa.int64()))}
+
+        return step
+
+    sets = written(map_batches(texts.select("id", "label", "text"), make, "id long, label long, shingles array<long>", rows=256), "sets")
+    all_of = sets.select("label", F.explode("shingles").alias("shingle"))
+    twice = all_of.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    own = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    found = own.join(twice, "shingle").groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return found.where(F.col("shared") * 100 >= F.col("n") * percent).select("id")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, slack: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row."""
     signed = written(signatures(docs, width, bands, rows, id_col, text_col), "signed")
@@ -182,20 +201,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     labels = components(links)
 
     second = apart(ranked.where("rank > 2").select("a", "b"), labels)
-    links = links.unionByName(written(confirmed(second, texts, width, percent), "links2"))
-    labels = components(links)
+    more = written(confirmed(second, texts, width, percent), "links2")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
     tested = stars.select("a", "b")
 
     # buckets of several components: those outside the most frequent one against the others
     placed = written(labelled(entries, labels, "id", "label"), "placed")
     counts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     major = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("major"))
-    minor = placed.join(major, "key").where("label <> major").select("key", F.col("id").alias("x"), F.col("label").alias("label_x"))
-    others = placed.join(minor, "key").where("label <> label_x")
+    open_ = written(placed.join(major, "key"), "open")
+    able = linkable(texts.join(open_.select("id", "label").distinct(), "id"), open_.where("label <> major").select("id").distinct(), width, percent)
+    minor = open_.where("label <> major").join(able, "id", "left_semi").select("key", F.col("id").alias("x"), F.col("label").alias("label_x"))
+    others = open_.join(minor, "key").where("label <> label_x")
     others = others.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     third = written(estimated(others, classes, n_bits, percent, slack).select("a", "b"), "others")
-    links = links.unionByName(written(confirmed(third, texts, width, percent), "links3"))
-    labels = components(links)
+    more = written(confirmed(third, texts, width, percent), "links3")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     named = labelled(members, labels, "id", "component_id").select("print", "component_id")
     out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
