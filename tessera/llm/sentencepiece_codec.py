@@ -68,7 +68,12 @@ class PieceModel:
         self.usable = frozenset(self.edges if self.pair_model else self.pieces)
         self.least = min(self.score.values(), default=0.0)
         self.fits = Memo(self._fits, memo // 2)
-        self.ids = Memo(lambda span: np.asarray(self.search(span.replace(" ", SPACE)), "<i4").tobytes(), memo)
+        self.ids = Memo(self._chunk, memo)
+        self.span_ids = Memo(self._span, memo // 4)
+        # decoding gathers bytes: each piece's place in one table and its length
+        self.table = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.size = np.array([len(x) for x in self.surface], np.int32)
+        self.place = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int32)
 
     # -- encoding ------------------------------------------------------------------------------------------------------
 
@@ -194,16 +199,31 @@ class PieceModel:
             else:
                 out.append(self.unknown)
 
+    def _span(self, span: str) -> bytes:
+        return np.asarray(self.search(span.replace(" ", SPACE)), "<i4").tobytes()
+
+    def _chunk(self, word: str) -> bytes:
+        """The ids of a word after a space, or after a line break where it begins with one."""
+        return b"".join(map(self._span, self.spans(word if word[0] == "\n" else " " + word)))
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers. A space is put before the text, as the model does."""
         if not text:
             return b""
-        return b"".join(map(self.ids.__getitem__, self.spans(" " + text)))
+        # no piece goes on over a single space or holds a line break: words are searched for themselves
+        words = text.replace("\n", " \n").split(" ")
+        if "" in words or SPACE in text or "\n" in self.pieces:  # runs of spaces
+            return b"".join(map(self.span_ids.__getitem__, self.spans(" " + text)))
+        return b"".join(map(self.ids.__getitem__, words))
 
     # -- decoding ------------------------------------------------------------------------------------------------------
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        size = self.size[ids]
+        end = np.cumsum(size)
+        at = np.arange(end[-1] if len(end) else 0, dtype=np.int64) + np.repeat(self.place[ids] - (end - size), size)
+        text = self.table[at].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
@@ -258,7 +278,7 @@ def encode_checked(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
             arrays = [np.frombuffer(x or b"", "<i4") for x in coded]
             ends = np.cumsum([0] + [len(x) for x in arrays], dtype=np.int32)
             mask = pa.array([x is None for x in coded])
-            same = [None if t is None else coder.decode(a.tolist()) == t.replace(SPACE, " ") for t, a in zip(c["text"], arrays)]
+            same = [None if t is None else coder.decode(a) == t.replace(SPACE, " ") for t, a in zip(c["text"], arrays)]
             flat = pa.array(np.concatenate(arrays) if arrays else np.empty(0, "<i4"))
             return {"doc_id": c["doc_id"], "ids": pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask), "n_pieces": pa.array([None if x is None else len(x) // 4 for x in coded], pa.int64()), "round_trip": pa.array(same, pa.bool_())}
 
