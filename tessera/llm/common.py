@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import discard, shared_folder
+
 #: A word is a longest run of other characters than these six; bytes.split() without arguments cuts at the same ones.
 SPACES = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -28,27 +27,39 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext.getCheckpointDir()
-        base = held or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+class Scratch:
+    """Intermediate tables of one call in a folder that driver and executors share; they cut the lineage and outlive lost executors."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.parts = spark, shared_folder(spark), 0
+
+    def path(self, name: str) -> str:
+        self.parts += 1
+        return f"{self.folder}/{self.parts}-{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows, written and read again."""
+        path = self.path(name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back.stored = path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing is read from any more."""
+        for t in tables:
+            discard(self.spark, t.stored)
 
 
 def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and outlives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows as a table of a folder of its own, which stays until the session ends."""
+    return Scratch(df.sparkSession).write(df, name)
 
 
 class Memo(dict):
     """Remembers fn by key; when it holds `limit` entries it starts anew, so its memory is bounded."""
 
-    def __init__(self, fn: Callable, limit: int = 300_000):
+    def __init__(self, fn: Callable, limit: int = 60_000):
         super().__init__()
         self.fn, self.limit = fn, limit
 
@@ -103,13 +114,5 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
-def sql_escape(path: str) -> str:
-    return path.replace("'", "''")
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def is_local_file(path: str) -> bool:
-    return os.path.exists(path)

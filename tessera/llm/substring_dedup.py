@@ -10,7 +10,8 @@ Documents of equal words are one class, of which one text takes part; all its wi
 with its number (up to two), so a word repeated a thousand times costs one row; counts are summed before they are shuffled. Hashes have 64 bits.
 
 Results for odd rows: a null text has no words (n_words 0, the hash of the empty text); documents shorter than a window lose nothing; rows that repeat, with the same or
-another doc_id, are copies; a null doc_id is treated like any other; an empty table gives an empty table; other columns are ignored.
+another doc_id, are copies; rows of one doc_id with several texts are documents of their own; a null doc_id is treated like any other; a very long text is one row like any other; an
+empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Memo, hash64, map_batches, mix, partitions, shared_dir, written
+from tessera.lineage import discard
+from tessera.llm.common import U64, Memo, Scratch, hash64, map_batches, mix, partitions
 
 
 def levels(width: int, shortest: int = 8) -> list[int]:
@@ -97,18 +99,18 @@ def repeated(owners: DataFrame, back: Column) -> DataFrame:
     return hit.groupBy("id").agg(F.collect_list("hash").alias("found"))
 
 
-def bucketed(df: DataFrame) -> DataFrame:
-    """The rows as a table on shared files, bucketed by id: joins on id then need not shuffle it again."""
-    spark, name = df.sparkSession, f"tessera_{uuid.uuid4().hex}"
-    df.write.bucketBy(partitions(spark), "id").option("path", f"{shared_dir(spark)}/bucketed").saveAsTable(name)
-    return spark.table(name)
+def bucketed(df: DataFrame, scratch: Scratch) -> tuple[str, str]:
+    """The name and folder of a table on shared files, bucketed by id: joins on id then need not shuffle it again. The caller drops it from the catalog."""
+    name, path = f"tessera_{uuid.uuid4().hex}", scratch.path("bucketed")
+    df.write.bucketBy(partitions(scratch.spark), "id").option("path", path).saveAsTable(name)
+    return name, path
 
 
 def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row."""
-    lengths = levels(width)
-    # a row without doc_id gets an id out of its text
-    ident = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit("no id"), F.col(text_col))).alias("id")
+    scratch, lengths = Scratch(docs.sparkSession), levels(width)
+    # a row's id is a hash of its doc_id and text; classes go by `whole`, the digest of their words, and by the id of one of their rows
+    ident = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("id")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ident, F.col(text_col).cast("string").alias("text"))
 
     def first():
@@ -122,34 +124,41 @@ def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
 
         return step
 
-    seen = written(map_batches(rows, first, "doc_id long, id long, n long, whole binary, once array<long>, twice array<long>"), "seen")
-    classes = written(seen.groupBy("whole").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    owners = seen.where(F.col("n") >= width).select("whole", "id", "once", "twice").join(classes, ["whole", "id"]).dropDuplicates(["whole"])
-    hit = repeated(owners, F.lit(True))
+    seen = scratch.write(map_batches(rows, first, "doc_id long, id long, n long, whole binary, once array<long>, twice array<long>"), "seen")
+    long_ = seen.where(F.col("n") >= width)
+    classes = scratch.write(long_.groupBy("whole").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    owners = long_.select("whole", "id", "once", "twice").join(classes, ["whole", "id"]).dropDuplicates(["whole"])
     # a class with copies and nothing shared with others can drop out; its own windows are known to be repeated
-    hit = hit.join(classes, "id").select("id", "copies", "whole", "found")
+    hit = repeated(owners, F.lit(True)).join(classes, "id").select("id", "copies", "whole", "found")
 
     def second():
         code = Memo(hash64)
 
         def step(c: dict[str, list]) -> dict[str, object]:
-            out = {k: [] for k in ("id", "copies", "text", "alive", "once", "twice")}
+            out = {k: [] for k in ("id", "whole", "copies", "text", "alive", "once", "twice")}
             for id_, copies, whole, found, text in zip(c["id"], c["copies"], c["whole"], c["found"], c["text"]):
                 words = cut(text)
-                if sha256(b" ".join(words)).digest() != whole:  # another row of the same id
+                if sha256(b" ".join(words)).digest() != whole:  # another text with the same id
                     continue
                 w = Windows(words, width, code)
                 w.keep(lengths[0], np.asarray(found, np.int64).view(U64))
                 if w.alive.any():
                     once, twice = w.hashes(lengths[min(1, len(lengths) - 1)])
-                    for k, v in zip(out, (id_, copies, text, w.packed(), once, twice)):
+                    for k, v in zip(out, (id_, whole, copies, text, w.packed(), once, twice)):
                         out[k].append(v)
-            return {"id": pa.array(out["id"], pa.int64()), "copies": pa.array(out["copies"], pa.int64()), "text": pa.array(out["text"], pa.string()), "alive": pa.array(out["alive"], pa.binary()), "once": _lists(out["once"]), "twice": _lists(out["twice"])}
+            return {"id": pa.array(out["id"], pa.int64()), "whole": pa.array(out["whole"], pa.binary()), "copies": pa.array(out["copies"], pa.int64()), "text": pa.array(out["text"], pa.string()), "alive": pa.array(out["alive"], pa.binary()), "once": _lists(out["once"]), "twice": _lists(out["twice"])}
 
         return step
 
-    texts = rows.select("id", "text").join(hit, "id").select("id", "copies", "whole", "found", "text")
-    alive = bucketed(map_batches(texts, second, "id long, copies long, text string, alive binary, once array<long>, twice array<long>"))
+    # rows that repeat doc_id and text meet the same class: one of them takes part
+    texts = rows.select("id", "text").join(hit, "id").dropDuplicates(["id", "whole", "text"]).select("id", "copies", "whole", "found", "text")
+    table, stored = bucketed(map_batches(texts, second, "id long, whole binary, copies long, text string, alive binary, once array<long>, twice array<long>"), scratch)
+    alive = scratch.spark.table(table)
+
+    def joined(bits: DataFrame, found: DataFrame) -> DataFrame:
+        """The texts with what is known of them; two classes that share an id are told apart by `whole`."""
+        own = bits.select("id", F.col("whole").alias("whole_"), "alive")
+        return alive.select("id", "whole", "copies", "text").join(own, "id").where("whole = whole_").join(found, "id").select("id", "whole", "copies", "text", "alive", "found")
 
     def later(before: int, now: int):
         def make():
@@ -162,19 +171,18 @@ def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
                     w.keep(before, np.asarray(found, np.int64).view(U64))
                     kept.append(w.packed())
                     pairs.append(w.hashes(now))
-                return {"id": c["id"], "copies": c["copies"], "alive": pa.array(kept, pa.binary()), "once": _lists([p[0] for p in pairs]), "twice": _lists([p[1] for p in pairs])}
+                return {"id": c["id"], "whole": pa.array(c["whole"], pa.binary()), "copies": c["copies"], "alive": pa.array(kept, pa.binary()), "once": _lists([p[0] for p in pairs]), "twice": _lists([p[1] for p in pairs])}
 
             return step
 
         return make
 
     owners = alive.select("id", "copies", "once", "twice")
-    bits = alive.select("id", "alive")
+    bits = alive.select("id", "whole", "alive")
     for before, now in zip(lengths[1:], lengths[2:]):
-        found = repeated(owners, F.lit(True))
-        joined = alive.select("id", "copies", "text").join(bits, "id").join(found, "id")
-        owners = written(map_batches(joined, later(before, now), "id long, copies long, alive binary, once array<long>, twice array<long>"), f"level{now}")
-        bits = owners.select("id", "alive")
+        work = joined(bits, repeated(owners, F.lit(True)))
+        owners = scratch.write(map_batches(work, later(before, now), "id long, whole binary, copies long, alive binary, once array<long>, twice array<long>"), f"level{now}")
+        bits = owners.select("id", "whole", "alive")
     found = repeated(owners, F.col("copies") == 1)
 
     def last():
@@ -192,16 +200,20 @@ def without_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", te
                 out = np.cumsum(edge[:-1]) > 0
                 removed.append(int(out.sum()))
                 digest.append(sha256(b" ".join(words[i] for i in np.flatnonzero(~out))).hexdigest())
-            return {"id": c["id"], "removed": pa.array(removed, pa.int64()), "digest": pa.array(digest, pa.string())}
+            return {"whole": pa.array(c["whole"], pa.binary()), "removed": pa.array(removed, pa.int64()), "digest": pa.array(digest, pa.string())}
 
         return step
 
-    changed = map_batches(alive.where("copies = 1").select("id", "text").join(bits, "id").join(found, "id"), last, "id long, removed long, digest string")
-    changed = changed.join(classes, "id").select("whole", "removed", "digest")
+    changed = scratch.write(map_batches(joined(bits, found).where("copies = 1"), last, "whole binary, removed long, digest string"), "changed")
+    scratch.spark.sql(f"DROP TABLE {table}")
+    scratch.drop(*([owners] if len(lengths) > 2 else []))
+    discard(scratch.spark, stored)
 
-    out = seen.select("doc_id", "n", "whole").join(classes.select("whole", "copies"), "whole").join(changed, "whole", "left")
-    copied = (F.col("copies") > 1) & (F.col("n") >= width)
-    return out.select(
-        "doc_id", F.col("n").alias("n_words"), F.when(copied, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
+    short = seen.where(F.col("n") < width).select("doc_id", "n", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("whole")).alias("kept_sha256"))
+    rest = long_.select("doc_id", "n", "whole").join(classes.select("whole", "copies"), "whole").join(changed, "whole", "left")
+    copied = F.col("copies") > 1
+    rest = rest.select(
+        "doc_id", "n", F.when(copied, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(sha256(b"").hexdigest())).otherwise(F.coalesce("digest", F.lower(F.hex("whole")))).alias("kept_sha256"),
     )
+    return rest.unionByName(short).withColumnRenamed("n", "n_words")
