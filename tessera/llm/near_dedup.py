@@ -3,16 +3,21 @@
 A document's set is its distinct word shingles. Equal sets form one class, found by a fingerprint of the set; all else is on classes. Of `bands * rows` minima each
 band of `rows` makes a bucket key; of every minimum one low bit is kept, so a signature packs into a few 64-bit words. Pairs of
 candidates come from shared buckets; the share of equal bits, corrected for those that agree by chance, estimates their
-similarity, and pairs well below the threshold (by `slack`, over five standard errors) go. The rest are confirmed on the full sets.
-
-No bucket is expanded into all its pairs. First every member is paired with its bucket's least and greatest member, and of those
-the two of the highest estimate are confirmed; then those of the others that would join two components; last, in buckets whose members are still of
-several components, the members outside the most frequent one are paired with those of other components; before that, those go that can
-link with no other component, as more than a fifth of their shingles stand in no text of another component in such buckets. Pairs within a component can add nothing, so no link between components is left out. A pair at the threshold shares no bucket with a probability of 3e-7 (defaults).
-
-Results for odd rows: a null text and one without words have an empty set, n_shingles 0, and are linked with nothing; a text of fewer words
-than a shingle has its whole sequence as its one shingle; rows that repeat doc_id and text are in one class; a null doc_id gives a null component_id and
-kept true, and links nothing; two classes with the same least doc_id count as one node; an empty table gives an empty table; other columns are ignored.
+similarity, and pairs well below the threshold (by `slack`, over three standard errors) go. The rest are confirmed on the full sets. A pair at the
+threshold shares no bucket with a probability of 3e-7 (defaults).
+
+No bucket is expanded into all its pairs. First every member is paired with its bucket's least and greatest member, and the two
+of the highest estimate are confirmed. That leaves buckets whose members are still of several components, most of all where edits have
+split a large group of near copies. There the members, by the component most frequent in their bucket, form families. A family's base is the set of the
+shingles that more than half of its members have, and a member is described by its differences to the base. Two members' sets differ by what only one
+of their differences has, so similar members share so many differences that each must have one of the other's among its rarest (a prefix, of a length
+that follows from the threshold). Only members that share one there are compared, by their whole differences, which is the exact test of their full sets. So no link
+between components is left out, and copies that are edited each in its own way meet nowhere.
+
+A row is a document of its own. Results for odd rows: a null text and one without words have an empty set, n_shingles 0, and are linked with nothing; a text of fewer words
+than a shingle has its whole sequence as its one shingle; rows that repeat doc_id and text are in one class; rows of one doc_id with
+several texts each have the component of their text; a null doc_id gives a null component_id and
+kept true, and links nothing; a very long text is one row like any other; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Memo, hash64, map_batches, mix, written
+from tessera.llm.common import U64, Memo, Scratch, hash64, map_batches, mix
 from tessera.llm.components import components
 
 
@@ -76,8 +81,13 @@ class Signer:
         return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, print (16 bytes), keys and bits of each row; keys and bits are null for an empty set."""
+    """doc_id, mark (a hash of the text), n, print (16 bytes), keys and bits of each row; keys and bits are null for an empty set."""
 
     def make():
         import xxhash
@@ -93,14 +103,13 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, id_col: str,
                     signed[p] = signer.sign(s)
             got = [signed.get(p) for p in prints]
             return {
-                "doc_id": c["doc_id"], "n": [len(s) for s in sets], "print": pa.array(prints, pa.binary()),
+                "doc_id": c["doc_id"], "mark": c["mark"], "n": [len(s) for s in sets], "print": pa.array(prints, pa.binary()),
                 "keys": pa.array([None if g is None else g[0] for g in got], pa.list_(pa.int64())), "bits": pa.array([None if g is None else g[1] for g in got], pa.list_(pa.int64())),
             }
 
         return step
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(picked, make, "doc_id long, n long, print binary, keys array<long>, bits array<long>", rows=256)
+    return map_batches(marked(docs, id_col, text_col), make, "doc_id long, mark long, n long, print binary, keys array<long>, bits array<long>", rows=256)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -139,89 +148,130 @@ def estimated(pairs: DataFrame, classes: DataFrame, n_bits: int, percent: int, s
     return both.select("a", "b", (1 - 2 * apart / F.lit(float(n_bits))).alias("similar")).where(F.col("similar") >= percent / 100 - slack)
 
 
-def labelled(ids: DataFrame, labels: DataFrame | None, name: str, out: str) -> DataFrame:
-    """Adds the label of a column of ids; a node without a link is its own label."""
-    if labels is None:
-        return ids.withColumn(out, F.col(name))
-    named = labels.select(F.col("node").alias(name), F.col("label").alias(out))
-    return ids.join(named, name, "left").withColumn(out, F.coalesce(out, name))
+def best_stars(tied: DataFrame, classes: DataFrame, n_bits: int, percent: int, slack: float, most: int = 2) -> DataFrame:
+    """(a, b): each member b of a bucket with those of its buckets' ends that are most like it."""
+    pairs = tied.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(tied.select(F.col("high").alias("a"), F.col("id").alias("b"))).where("a <> b").distinct()
+    best = W.partitionBy("b").orderBy(F.col("similar").desc(), "a")  # at most two rows for each band
+    ranked = estimated(pairs, classes, n_bits, percent, slack).withColumn("rank", F.row_number().over(best))
+    return ranked.where(F.col("rank") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    return labelled(labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b").drop("label_a", "label_b")
+def families(tied: DataFrame, labels: DataFrame) -> DataFrame:
+    """(family, id, label) of the members of buckets of several components; the family is the most frequent component, of equals the least."""
+    named = labels.select(F.col("node").alias("id"), "label")
+    placed = tied.select("key", "id").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    major = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("label")).alias("minus"))).alias("top"), F.count(F.lit(1)).alias("labels"))
+    return placed.join(major.where("labels > 1").select("key", (-F.col("top.minus")).alias("family")), "key").select("family", "id", "label").distinct()
 
 
-def linkable(texts: DataFrame, ids: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of the ids those at least `percent` of whose shingles stand in texts of another component too: any link between components needs as much."""
+def shingled(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Adds shingles to (family, members, id, label)."""
 
     def make():
         code = Memo(hash64)
 
         def step(c: dict[str, list]) -> dict[str, object]:
-            return {"id": c["id"], "label": c["label"], "shingles": pa.array([shingle_set(t, code, width).view(np.int64) for t in c["text"]], pa.list_(pa.int64()))}
+            sets = [shingle_set(t, code, width).view(np.int64) for t in c["text"]]
+            return {k: c[k] for k in ("family", "members", "id", "label")} | {"shingles": pa.array(sets, pa.list_(pa.int64()))}
 
         return step
 
-    sets = written(map_batches(texts.select("id", "label", "text"), make, "id long, label long, shingles array<long>", rows=256), "sets")
-    all_of = sets.select("label", F.explode("shingles").alias("shingle"))
-    twice = all_of.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-    own = sets.join(ids, "id", "left_semi").select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    found = own.join(twice, "shingle").groupBy("id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return found.where(F.col("shared") * 100 >= F.col("n") * percent).select("id")
-
-
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, slack: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
-    signed = written(signatures(docs, width, bands, rows, id_col, text_col), "signed")
-    full = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    members = written(full.groupBy("print").agg(F.min("doc_id").alias("id")), "members")
-    classes = full.join(members.withColumnRenamed("id", "doc_id"), ["print", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "bits", "keys").dropDuplicates(["id"])
-    classes = written(classes, "classes")
+    size = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    known = members.join(size, "family").join(texts, "id").select("family", "members", "id", "label", "text")
+    return map_batches(known, make, "family long, members long, id long, label long, shingles array<long>", rows=64)
+
+
+def differences(sets: DataFrame, percent: int) -> DataFrame:
+    """(family, id, label, diff, need): diff has the shingles in which a member and the base of its family differ. Members x and y are similar if and only if
+    their diffs share at least (need_x + need_y) / (2 * (100 + percent)) shingles."""
+    held = sets.select("family", "members", F.explode("shingles").alias("shingle")).groupBy("family", "members", "shingle").agg(F.count(F.lit(1)).alias("c"))
+    # no longer than twice the mean set of the family
+    base = held.where(F.col("c") * 2 > F.col("members")).groupBy("family").agg(F.collect_list("shingle").alias("base"))
+    both = sets.join(base, "family", "left").withColumn("base", F.coalesce("base", F.array().cast("array<bigint>")))
+    diff = F.concat(F.array_except("shingles", "base"), F.array_except("base", "shingles"))
+    return both.select("family", "id", "label", diff.alias("diff"), F.size("shingles").alias("n")).select("family", "id", "label", "diff", ((100 + percent) * F.size("diff") - (100 - percent) * F.col("n")).cast("long").alias("need"))
+
+
+def links_between(diffs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): labels of components that a pair of members links."""
+    step = 2 * (100 + percent)
+    outside = F.col("label") != F.col("family")
+    figures = diffs.groupBy("family").agg(F.min("need").alias("least"), F.min_by("label", "need").alias("least_label"), F.min(F.when(outside, F.col("need"))).alias("least_outside"))
+    known = diffs.join(figures, "family")
+    # needs of at most 0 together: similar whatever is shared; then both are so with the member of the least need
+    sure = known.where((F.col("need") + F.col("least") <= 0) & (F.col("label") != F.col("least_label"))).select(F.col("label").alias("a"), F.col("least_label").alias("b"))
+
+    # of every pair one is outside its family's component: it is sought among the outsiders' prefixes, by the prefixes of all. The more an outsider needs, the
+    # shorter are the prefixes that have to seek it, so outsiders are told apart by levels of their need, of doubling widths: each member seeks on each level
+    level = F.floor(F.log2((F.col("need") - F.col("least_outside")) / F.lit(float(step)) + 1)).cast("int")
+    outsiders = known.where(outside).select("family", "need", level.alias("level"))
+    floors = outsiders.groupBy("family", "level").agg(F.min("need").alias("floor")).groupBy("family").agg(F.collect_list(F.struct("level", "floor")).alias("floors"))
+    prefix = lambda other: F.greatest(F.size("diff") + 1 - F.greatest(F.lit(1), F.ceil((F.col("need") + other) / step)), F.lit(0))
+    roles = known.join(floors, "family").withColumn("seeking", F.transform("floors", lambda x: F.struct(x["level"].alias("level"), prefix(x["floor"]).alias("length"))))
+    roles = roles.withColumn("level", F.when(outside, level)).withColumn("sought", F.when(outside, prefix(F.col("least"))).otherwise(0))
+    roles = roles.withColumn("most", F.greatest("sought", F.array_max(F.transform("seeking", lambda x: x["length"])))).where("most > 0")
+    each = roles.select("family", "id", "label", "seeking", "level", "sought", "most", F.explode("diff").alias("shingle"))
+    often = diffs.select("family", F.explode("diff").alias("shingle")).groupBy("family", "shingle").agg(F.count(F.lit(1)).alias("c"))
+    rarest = W.partitionBy("family", "id").orderBy("c", "shingle")  # the shingles of one document
+    placed = each.join(often, ["family", "shingle"]).withColumn("place", F.row_number().over(rarest)).where("c > 1 and place <= most")
+    placed = placed.select("family", "shingle", "id", "label", "level", (F.col("place") <= F.col("sought")).alias("sought"), F.expr("transform(filter(seeking, x -> place <= x.length), x -> x.level)").alias("levels"))
+    placed = scratch.write(placed, "prefixes")
+    one = placed.select("family", "shingle", F.col("id").alias("x"), F.col("label").alias("label_x"), F.explode("levels").alias("level"))
+    two = placed.where("sought").select("family", "shingle", F.col("id").alias("y"), F.col("label").alias("label_y"), "level")
+    # two outsiders seek each other: once is enough
+    met = one.join(two, ["family", "level", "shingle"]).where("label_x <> label_y and (label_x = family or x < y)").select("family", "x", "y").distinct()
+
+    x = diffs.select("family", F.col("id").alias("x"), F.col("label").alias("a"), F.col("diff").alias("diff_x"), F.col("need").alias("need_x"))
+    y = diffs.select("family", F.col("id").alias("y"), F.col("label").alias("b"), F.col("diff").alias("diff_y"), F.col("need").alias("need_y"))
+    similar = F.size(F.array_intersect("diff_x", "diff_y")) * step >= F.col("need_x") + F.col("need_y")
+    found = met.join(x, ["family", "x"]).join(y, ["family", "y"]).where(similar).select("a", "b")
+    return scratch.write(found.unionByName(sure).distinct(), "links")
+
+
+def near_rows(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 64, rows: int = 7, slack: float = 0.16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, mark (a hash of the text), n, component (a number of its own), component_id of each row."""
+    scratch, n_bits = Scratch(docs.sparkSession), bands * rows
+    signed = scratch.write(signatures(docs, width, bands, rows, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "signed")
+    full = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    # a class goes by one of its rows
+    members = scratch.write(signed.where(full).groupBy("print").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "members")
+    classes = scratch.write(signed.select(F.col("row").alias("id"), "doc_id", "mark", "n", "bits", "keys").join(members.select("id"), "id"), "classes")
 
     # the buckets with two or more members
     entries = classes.select("id", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    entries = written(entries.join(shared, "key"), "entries")
-
-    # texts of the classes in them; of rows that repeat an id any will do
-    wanted = entries.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]) if signed.count() != signed.select("doc_id").distinct().count() else texts, "texts")
-
-    n_bits = bands * rows
-    ends = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    tied = entries.join(ends, "key")
-    stars = tied.select(F.col("low").alias("a"), F.col("id").alias("b")).unionByName(tied.select(F.col("id").alias("a"), F.col("high").alias("b"))).where("a <> b").distinct()
-    stars = written(estimated(stars, classes, n_bits, percent, slack), "stars")
-
-    best = W.partitionBy("b").orderBy(F.col("similar").desc(), "a")
-    ranked = stars.withColumn("rank", F.row_number().over(best))
-    first = ranked.where("rank <= 2").select("a", "b")
-    links = written(confirmed(first, texts, width, percent), "links1")
-    labels = components(links)
-
-    second = apart(ranked.where("rank > 2").select("a", "b"), labels)
-    more = written(confirmed(second, texts, width, percent), "links2")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    tested = stars.select("a", "b")
-
-    # buckets of several components: those outside the most frequent one against the others
-    placed = written(labelled(entries, labels, "id", "label"), "placed")
-    counts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    major = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("major"))
-    open_ = written(placed.join(major, "key"), "open")
-    able = linkable(texts.join(open_.select("id", "label").distinct(), "id"), open_.where("label <> major").select("id").distinct(), width, percent)
-    minor = open_.where("label <> major").join(able, "id", "left_semi").select("key", F.col("id").alias("x"), F.col("label").alias("label_x"))
-    others = open_.join(minor, "key").where("label <> label_x")
-    others = others.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    third = written(estimated(others, classes, n_bits, percent, slack).select("a", "b"), "others")
-    more = written(confirmed(third, texts, width, percent), "links3")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-
-    named = labelled(members, labels, "id", "component_id").select("print", "component_id")
-    out = signed.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-    out = out.join(named, "print", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    ends = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    tied = scratch.write(entries.join(ends, "key"), "tied")
+    wanted = classes.select("id", "doc_id", "mark").join(tied.select("id").distinct(), "id", "left_semi")
+    texts = scratch.write(marked(docs, id_col, text_col).join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("id", "text"), "texts")
+
+    links = scratch.write(confirmed(best_stars(tied, classes, n_bits, percent, slack), texts, width, percent), "confirmed")
+    labels = components(links, scratch)
+    kin = scratch.write(families(tied, labels), "families")
+    sets = scratch.write(shingled(kin, texts, width), "sets")
+    diffs = scratch.write(differences(sets, percent), "differences")
+    between = links_between(diffs, percent, scratch)
+    wider = components(between, scratch).select(F.col("node").alias("label"), F.col("label").alias("component"))
+    scratch.drop(classes, tied, texts, links, kin, sets, diffs, between)
+
+    # classes of several documents get their component's least doc_id, the others have their own
+    linked = labels.unionByName(wider.select(F.col("label").alias("node"), F.col("label")).join(labels.select("node"), "node", "left_anti"))
+    placed = linked.select(F.col("node").alias("id"), "label").join(wider, "label", "left").select("id", F.coalesce("component", "label").alias("component"))
+    known = members.join(placed, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    first = known.groupBy("component").agg(F.min("first").alias("component_id"))
+    known = known.select("print", "component").join(first, "component")
+    own = signed.select("doc_id", "mark", "n", "print", "row")
+    some = own.where(full).drop("row").join(known, "print").select("doc_id", "mark", "n", "component", "component_id")
+    return some.unionByName(own.where(~full).select("doc_id", "mark", "n", F.col("row").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row; options as of near_rows."""
+    rows = near_rows(docs, **options)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id and mark (xxhash64 of the text as a string) of one row of each component: the one of the least doc_id, of these that of the least mark."""
+    rows = near_rows(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.groupBy("component").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark")).select("doc_id", "mark")
