@@ -12,10 +12,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.values import literal
+
 
 @dataclass(frozen=True)
 class TermMap:
-    """How rows give a term. kind: iri, bnode or lit. prefix: the IRI is prefix + expr. const: the same IRI in all rows."""
+    """How rows give a term. kind: iri, bnode or lit. prefix: the IRI is prefix + expr. const: the same IRI in all rows. wide: literals that no native column can hold, by their
+    lexical forms. mixed: expr gives a poly struct."""
 
     kind: str
     expr: str = ""
@@ -23,14 +26,18 @@ class TermMap:
     dt: str | None = None
     lang: str | None = None
     const: str | None = None
+    wide: bool = False
+    mixed: bool = False
 
     def column(self) -> Column:
+        if self.wide:
+            return literal(F.expr(self.expr), self.dt, self.lang)
         return F.lit(self.const) if self.const is not None else F.expr(self.expr)
 
 
 @dataclass(frozen=True)
 class Partition:
-    predicate: str
+    predicate: str | None  # None: column p tells
     source: str
     subject: TermMap
     object: TermMap
@@ -38,7 +45,9 @@ class Partition:
     graph: str | None = None  # all triples are in this graph
     graphs: str | None = None  # or: an expression for the array of graphs
     unique: bool = False  # a subject stands in one row of the source
-    rows: int | None = None
+    rows: int | None = None  # and its triples, subjects and objects, where they are known
+    subjects: int | None = None
+    objects: int | None = None
 
     def graph_column(self) -> Column:
         return F.array(F.lit(self.graph)) if self.graphs is None else F.expr(self.graphs)
@@ -49,6 +58,7 @@ class Catalog:
     partitions: list[Partition] = field(default_factory=list)
     frames: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
     namespaces: dict[str, str] = field(default_factory=dict)
+    whole: Callable[[], DataFrame] | None = None  # all partitions of a loaded store, with column part
     _held: dict[str, DataFrame] = field(default_factory=dict)
     _sizes: dict[str, float] = field(default_factory=dict)
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.sparql.parser import SparqlError
 from tessera.terms import BOOLEAN, DATE, DATE_TIME, DECIMAL, DOUBLE, FLOAT, GYEAR, INTEGER, LANG_STRING, NUMERIC, STRING, WHOLE, XSD, Iri, Lit, Var
-from tessera.values import BNODE_KIND, BOOL, IRI_KIND, LIT_KIND, TEXT, VT, E, common, constant, iri_text, is_text, lexical, lit, number, numeric, parsed, physical, poly, same_term, to
+from tessera.values import BNODE_KIND, BOOL, IRI_KIND, LIT_KIND, OFFSET, TEXT, VT, E, common, constant, instant, iri_text, is_text, lexical, lit, literal, number, numeric, parsed, physical, poly, same_term, to
 
 DECIMAL_TYPE = "decimal(38,18)"
 
@@ -41,10 +42,6 @@ def _level(vt: VT) -> str:
 
 
 def promoted(a: E, b: E) -> tuple[Column, Column, str] | None:
-    if a.vt.kind == "poly" or b.vt.kind == "poly":
-        if (a.vt.kind == "poly" or numeric(a.vt)) and (b.vt.kind == "poly" or numeric(b.vt)):
-            return number(a), number(b), DOUBLE
-        return None
     if not (numeric(a.vt) and numeric(b.vt)):
         return None
     x, y = _level(a.vt), _level(b.vt)
@@ -56,7 +53,25 @@ def promoted(a: E, b: E) -> tuple[Column, Column, str] | None:
     return a.col.cast("bigint"), b.col.cast("bigint"), INTEGER
 
 
+def _math_poly(op: str, a: E, b: E) -> E:
+    """Arithmetic on terms whose datatypes rows tell: whole numbers and decimals stay exact."""
+    p, q = poly(a), poly(b)
+    exact = p["dt"].isin(*WHOLE, DECIMAL) & q["dt"].isin(*WHOLE, DECIMAL)
+    whole = p["dt"].isin(*WHOLE) & q["dt"].isin(*WHOLE) & F.lit(op != "/")
+    decimals = math(op, *[E(x["lex"].try_cast(DECIMAL_TYPE), lit(DECIMAL)) for x in (p, q)]).col
+    doubles = math(op, *[E(number(E(x, VT("poly"))), lit(DOUBLE)) for x in (p, q)]).col
+    return number_term(whole, exact, decimals, doubles)
+
+
+def number_term(whole: Column, exact: Column, decimals: Column, doubles: Column) -> E:
+    """A poly number: an integer, a decimal or a double."""
+    text = F.when(whole, decimals.try_cast("decimal(38,0)").cast("string")).when(exact, lexical(E(decimals, lit(DECIMAL)))).otherwise(lexical(E(doubles, lit(DOUBLE))))
+    return E(literal(text, F.when(whole, F.lit(INTEGER)).when(exact, F.lit(DECIMAL)).otherwise(F.lit(DOUBLE))), VT("poly"))
+
+
 def math(op: str, a: E, b: E) -> E:
+    if "poly" in (a.vt.kind, b.vt.kind) and all(x.vt.kind == "poly" or numeric(x.vt) for x in (a, b)):
+        return _math_poly(op, a, b)
     both = promoted(a, b)
     if both is None:
         return error(lit(DOUBLE))
@@ -114,8 +129,14 @@ def _compare_poly(op: str, a: E, b: E) -> Column:
     x, y = number(E(p, VT("poly"))), number(E(q, VT("poly")))
     numbers = p["dt"].isin(*NUMERIC) & q["dt"].isin(*NUMERIC)
     by_value = F.when(F.isnan(x) | F.isnan(y), F.lit(op == "!=")).otherwise(_ordered(op, x, y))
-    simple = (p["dt"] == q["dt"]) & p["dt"].isin(STRING, DATE_TIME, DATE, GYEAR, BOOLEAN)
-    out = F.when(p.isNull() | q.isNull(), F.lit(None).cast("boolean")).when(numbers, by_value).when(simple, _ordered(op, p["lex"], q["lex"]))
+    # whole numbers beyond the exact range of doubles
+    m, n = p["lex"].try_cast("decimal(38,0)"), q["lex"].try_cast("decimal(38,0)")
+    whole = p["dt"].isin(*WHOLE) & q["dt"].isin(*WHOLE) & m.isNotNull() & n.isNotNull()
+    alike = p["dt"] == q["dt"]
+    dates = alike & p["dt"].isin(DATE_TIME, DATE, GYEAR)
+    out = F.when(p.isNull() | q.isNull(), F.lit(None).cast("boolean")).when(whole, _ordered(op, m, n)).when(numbers, by_value)
+    out = out.when(dates, _ordered(op, instant(p["lex"], p["dt"]), instant(q["lex"], q["dt"]))).when(alike & (p["dt"] == BOOLEAN), _ordered(op, parsed(p["lex"], BOOLEAN), parsed(q["lex"], BOOLEAN)))
+    out = out.when(alike & (p["dt"] == STRING), _ordered(op, p["lex"], q["lex"]))
     if op in ("=", "!="):
         same = (p["kind"] == q["kind"]) & (p["lex"] == q["lex"]) & p["dt"].eqNullSafe(q["dt"]) & p["lang"].eqNullSafe(q["lang"])
         unknown = (p["kind"] == LIT_KIND) & (q["kind"] == LIT_KIND) & p["lang"].isNull() & q["lang"].isNull()
@@ -153,7 +174,10 @@ def cast(dt: str, e: E) -> E:
     if dt == STRING:
         return E(lexical(e), vt)
     if e.vt.kind == "poly" or physical(e.vt.dt) == "string":
-        return E(parsed(lexical(e), dt), vt)
+        text = F.trim(lexical(e))
+        if dt == DATE_TIME:  # an offset stays
+            return E(literal(F.when(parsed(text, dt).isNotNull(), text), dt), VT("poly"))
+        return E(parsed(text, dt), vt)
     x = e.col
     if numeric(vt) and numeric(e.vt):
         if dt in WHOLE and e.vt.dt in (DOUBLE, FLOAT, DECIMAL):
@@ -224,17 +248,35 @@ def _lang_matches(a: E, b: E) -> E:
     return E(F.when(y == "*", x != "").otherwise((x == y) | F.startswith(x, F.concat(y, F.lit("-")))), BOOL)
 
 
+def resolved(base: str, text: Column) -> Column:
+    """References against a base IRI."""
+    at = urlsplit(base)
+    root, home = f"{at.scheme}://{at.netloc}" if at.netloc else f"{at.scheme}:", at.path[: at.path.rfind("/") + 1] or "/"
+    path, tail = F.regexp_extract(text, "^([^?#]*)", 1), F.regexp_extract(text, "(?s)^[^?#]*(.*)$", 1)
+    steps = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(home), path)), "/")
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    done = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).when(x == ".", acc).otherwise(F.array_append(acc, x)))
+    done = F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done)
+    whole = F.concat(F.lit(root), F.array_join(done, "/"), tail)
+    bare = base.split("#", 1)[0]
+    out = F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).when((text == "") | text.startswith("#"), F.concat(F.lit(bare), text))
+    return out.when(text.startswith("?"), F.concat(F.lit(bare.split("?", 1)[0]), text)).when(text.startswith("//"), F.concat(F.lit(at.scheme + ":"), text)).otherwise(whole)
+
+
 def _iri(base: str, e: E) -> E:
     if e.vt.kind == "iri":
         return e
     text = lexical(e)
     if base:
-        text = F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).otherwise(F.concat(F.lit(base.rsplit("/", 1)[0] + "/"), text))
+        text = resolved(base, text)
     return E(text if e.vt.kind == "poly" or is_text(e.vt) else F.lit(None).cast("string"), VT("iri"))
 
 
 def _bnode(e: E | None = None) -> E:
-    return E(F.regexp_replace(F.expr("uuid()"), "-", "") if e is None else F.concat(F.lit("l"), F.md5(text_of(e).cast("binary"))), VT("bnode"))
+    """A new node; with a text, the same one for the same text within a solution, which goes by the number of its row."""
+    if e is None:
+        return E(F.regexp_replace(F.expr("uuid()"), "-", ""), VT("bnode"))
+    return E(F.concat(F.lit("l"), F.md5(text_of(e).cast("binary")), F.lit("_"), F.monotonically_increasing_id().cast("string")), VT("bnode"))
 
 
 def _str_dt(a: E, b: E) -> E:
@@ -316,7 +358,12 @@ def _whole(e: E, made: Callable[[Column], Column]) -> E:
 
 
 def _absolute(e: E) -> E:
-    return E(F.abs(number(e)), lit(DOUBLE)) if e.vt.kind == "poly" else E(F.abs(e.col), e.vt.bound()) if numeric(e.vt) else error(lit(DOUBLE))
+    return E(F.abs(number(e)), lit(DOUBLE)) if e.vt.kind == "poly" else E(F.when(e.col < 0, _negative(e.col, e.vt.dt)).otherwise(e.col), e.vt.bound()) if numeric(e.vt) else error(lit(DOUBLE))
+
+
+def _negative(x: Column, dt: str) -> Column:
+    """Null where the type can't hold it."""
+    return -x if dt in (DOUBLE, FLOAT, DECIMAL) else F.try_subtract(F.lit(0).cast(physical(dt)), x)
 
 
 def _concat(*args: E) -> E:
@@ -338,7 +385,7 @@ def _part(made: Callable[[Column], Column]) -> Callable[[E], E]:
 def _zone(e: E) -> Column:
     """The offset as written; values held natively have none."""
     if e.vt.kind == "poly":
-        return F.when(e.col["dt"].isin(DATE_TIME, DATE), F.regexp_extract(e.col["lex"], "T.*?(Z|[+-][0-9]{2}:[0-9]{2})$", 1))
+        return F.when(e.col["dt"].isin(DATE_TIME, DATE), F.regexp_extract(e.col["lex"], OFFSET, 1))
     return F.when(e.col.isNotNull(), F.lit("")) if e.vt.dt in (DATE_TIME, DATE) else F.lit(None).cast("string")
 
 
@@ -433,7 +480,7 @@ def evaluate(e, lookup: Callable[[str], E | None], exists: Callable[[tuple], Col
         return math(e[1], go(e[2]), go(e[3]))
     if kind == "minus":
         x = go(e[1])
-        return E(-number(x), lit(DOUBLE)) if x.vt.kind == "poly" else E(-x.col, x.vt.bound()) if numeric(x.vt) else error(lit(DOUBLE))
+        return _math_poly("-", constant(Lit("0", INTEGER)), x) if x.vt.kind == "poly" else E(_negative(x.col, x.vt.dt), x.vt.bound()) if numeric(x.vt) else error(lit(DOUBLE))
     if kind == "in":
         a, out = go(e[1]), F.lit(False)
         for x in e[2]:

@@ -1,7 +1,8 @@
 """Property paths. Sequences, inverses and alternatives are joins, swaps and unions; repetition is a semi-naive fixpoint.
 
-A fixpoint starts at the bound end, if one is, so it follows only what can be reached from there. Each round joins the newest pairs with the
-edges and removes what is known by an anti-join; rounds are settled on shared files, so plans do not grow.
+A fixpoint starts at the bound end, if one is, or at the nodes that the rest of the pattern leaves for an end, so it follows only what can be reached from there. Each round joins
+the newest pairs with the edges and removes what is known by an anti-join; where nothing is bound it joins them with all known pairs, so path lengths double. Rounds are settled on
+shared files, so plans do not grow.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.lineage import settled
-from tessera.plans.relation import Rel, join, union
+from tessera.plans.relation import Rel, join, semi, union
 from tessera.terms import Iri, Var
 from tessera.values import VT, constant, same_term, to
 
@@ -55,7 +56,15 @@ class PathMixin:
         vt = vt.bound()
         return Rel(r.df.select(to(r.e(S), vt).alias(S), to(r.e(O), vt).alias(O)).distinct(), {S: vt, O: vt}, r.size)
 
-    def _closure(self, s, kind: str, path, o, g) -> Rel:
+    def path_from(self, s: Var, path: tuple, o: Var, g, r: Rel, end: int) -> Rel:
+        """A repeated path of which one end (0: s, 1: o) is among the values that r has for it."""
+        kind, inner = path
+        if end:
+            return self.path_from(o, (kind, ("inv", inner)), s, g, r, 0)
+        seeds = r.keep([s.name])
+        return self._closure(s, kind, inner, o, g, Rel(settled(seeds.df.select(F.col(f"`{s.name}`").alias(S)).distinct()), {S: seeds.vt[s.name].bound()}, seeds.size))
+
+    def _closure(self, s, kind: str, path, o, g, seeds: Rel | None = None) -> Rel:
         if isinstance(s, Var) and not isinstance(o, Var):  # from the bound end
             return self._closure(o, kind, ("inv", path), s, g)
         step = self.edges(path, g)
@@ -63,7 +72,9 @@ class PathMixin:
         step_df = step.df
         if kind != "opt":
             step_df = settled(step_df)
-        if isinstance(s, Var):
+        if seeds is not None:
+            newest = semi(Rel(step_df, step.vt, step.size), seeds, "left_semi").df
+        elif isinstance(s, Var):
             newest = step_df
         else:
             start = constant(s)
@@ -73,8 +84,9 @@ class PathMixin:
         if kind != "opt":
             known = settled(newest)
             newest = known
-            hop = step_df.select(F.col(S).alias("__m"), F.col(O).alias("__n"))
+            free = seeds is None and isinstance(s, Var)
             while True:
+                hop = (known if free else step_df).select(F.col(S).alias("__m"), F.col(O).alias("__n"))
                 found = newest.join(hop, newest[O] == hop["__m"]).select(S, F.col("__n").alias(O)).distinct()
                 found = settled(found.join(known, [S, O], "left_anti"))
                 if found.isEmpty():
@@ -82,26 +94,27 @@ class PathMixin:
                 known, newest = known.unionAll(found), found
         pairs = Rel(known, {S: vt, O: vt}, step.size)
         if kind in ("star", "opt"):
-            pairs = self._with_self(pairs, s, g)
+            pairs = self._with_self(pairs, s, g, seeds)
         return self._named(pairs, s, o)
 
-    def _with_self(self, pairs: Rel, s, g) -> Rel:
+    def _with_self(self, pairs: Rel, s, g, seeds: Rel | None = None) -> Rel:
         """Paths of length zero: each node, or the given term even if it is not in the data."""
         if not isinstance(s, Var):
             e = constant(s)
             one = Rel(self.spark.range(1).select(e.col.alias(S), e.col.alias(O)), {S: e.vt, O: e.vt}, 1.0)
             both = union([pairs, one])
         else:
-            nodes = self.nodes(g)
+            nodes = seeds or self.nodes(g)
             both = union([pairs, Rel(nodes.df.select(F.col(S), F.col(S).alias(O)), {S: nodes.vt[S], O: nodes.vt[S]}, nodes.size)])
         return Rel(both.df.distinct(), both.vt, both.size)
 
     def nodes(self, g) -> Rel:
         """All subjects and objects of the active graph."""
-        parts = []
-        for p in self.partitions(Var(S), Var("__p"), Var(O), g):
-            r = self.scan([((Var(S), Iri(p.predicate), Var(O)), p)], g)
+        triple, parts = (Var(S), Var("__p"), Var(O)), []
+        for r in self.scans(triple, self.partitions(*triple, g), g):
             parts += [r.keep([S]), Rel(r.df.select(F.col(O).alias(S)), {S: r.vt[O]}, r.size)]
+        if not parts:
+            return self.empty([S])
         r = union(parts)
         return Rel(r.df.distinct(), r.vt, r.size)
 

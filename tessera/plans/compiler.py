@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog, Partition, TermMap
-from tessera.functions.scalar import evaluate, truth
+from tessera.functions.scalar import evaluate, number_term, truth
 from tessera.lineage import settled
 from tessera.operators.paths import PathMixin
 from tessera.plans.relation import Rel, both, join, minus, semi, union
 from tessera.sparql.parser import Query, SparqlError, mentioned, variables
-from tessera.terms import DECIMAL, DOUBLE, FLOAT, INTEGER, STRING, BNode, Iri, Var
-from tessera.values import POLY, VT, E, common, constant, lexical, lit, number, numeric, order_key, output, physical, poly, same_term, to
+from tessera.terms import DECIMAL, DOUBLE, FLOAT, INTEGER, STRING, WHOLE, BNode, Iri, Lit, Var
+from tessera.values import BNODE_KIND, IRI_KIND, LIT_KIND, POLY, VT, E, common, constant, is_wide, lexical, lit, native_columns, number, numeric, order_key, output, physical, poly, same_term, to
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Compiler(PathMixin):
 
     @staticmethod
     def vt_of(t: TermMap) -> VT:
-        return VT(t.kind, t.dt, t.lang, None if t.const is not None else t.prefix)
+        return VT("poly") if t.wide or t.mixed else VT(t.kind, t.dt, t.lang, None if t.const is not None else t.prefix)
 
     def can_be(self, t: TermMap, term, at_subject: bool = False) -> bool:
         """Whether a term may stand there, by kind, datatype, language and template."""
@@ -52,7 +52,7 @@ class Compiler(PathMixin):
             return t.const == term.value if t.const is not None else t.prefix is None or term.value.startswith(t.prefix)
         if isinstance(term, BNode):
             return t.kind == "bnode"
-        return t.kind == "lit" and t.dt == term.dt and (t.lang or "").lower() == (term.lang or "").lower()
+        return t.kind == "lit" and t.dt == term.dt and (t.lang or "").lower() == (term.lang or "").lower() and t.wide == is_wide(term)
 
     def partitions(self, s, p, o, graphs: Graphs) -> list[Partition]:
         found = self.catalog.of(p.value if isinstance(p, Iri) else None)
@@ -86,7 +86,9 @@ class Compiler(PathMixin):
         for (s, p, o), part in triples:
             bind(s, part.subject, E(part.subject.column(), self.vt_of(part.subject)))
             bind(o, part.object, E(part.object.column(), self.vt_of(part.object), Iri(part.object.const) if part.object.const else None))
-            if isinstance(p, Var):
+            if part.predicate is None:
+                bind(p, TermMap("iri", "p"), E(F.col("p"), VT("iri")))
+            elif isinstance(p, Var):
                 bind(p, TermMap("iri", const=part.predicate), E(F.lit(part.predicate), VT("iri"), Iri(part.predicate)))
             if not isinstance(o, Var) and part.object.const is None and part.object.expr not in seen_null:
                 seen_null.add(part.object.expr)
@@ -107,20 +109,48 @@ class Compiler(PathMixin):
             raise SparqlError("a graph variable can't stand in its own triples")
         if conditions:
             df = df.where(both(conditions))
-        size = self.catalog.size(parts[0].source) * (0.1 if any(not isinstance(x, Var) for (s, _, o), p in triples for x, t in ((s, p.subject), (o, p.object)) if t.const is None) else 1.0)
+        size = self.estimate(triples)
         if not names and not also:
             return Rel(df.select(F.lit(1).alias("__unit")), {}, size)
         return Rel(df.select(*[e.col.alias(n) for n, e in names.items()], *also), {n: e.vt for n, e in names.items()}, size)
 
+    def estimate(self, triples: list[tuple[tuple, Partition]]) -> float:
+        """Bytes, roughly: by the catalog's counts where it has them, else by Spark's statistics."""
+        part = triples[0][1]
+        if part.rows is None:
+            bound = any(not isinstance(x, Var) for (s, _, o), p in triples for x, t in ((s, p.subject), (o, p.object)) if t.const is None)
+            return self.catalog.size(part.source) * (0.1 if bound else 1.0)
+        (s, _, o), rows = triples[0][0], 64.0 * part.rows
+        return rows / (max(1, part.subjects or 1) if not isinstance(s, Var) else 1) / (max(1, part.objects or 1) if not isinstance(o, Var) else 1)
+
     def scans(self, t: tuple, found: list[Partition], graphs: Graphs) -> list[Rel]:
         """Scans of one triple pattern: partitions of the same rows are read together, the objects of a row side by side and then made into rows."""
-        s, _, o = t
+        s, p, o = t
+        if self.catalog.whole and len(found) > 1 and isinstance(p, Var) and isinstance(o, Var):
+            return [self.scan_whole(t, found, graphs)]
         groups: dict[tuple, list[Partition]] = {}
         for p in found:
             together = isinstance(s, (Var, Iri)) and isinstance(o, Var) and not (isinstance(s, Var) and s.name == o.name) and not (isinstance(t[1], Var) and t[1].name in (o.name, getattr(s, "name", None)))
             groups.setdefault((p.source, p.subject, p.graph, p.graphs) if together else (id(p),), []).append(p)
         return [self.scan([(t, g[0])], graphs) if len(g) == 1 else self.scan_rows(t, g, graphs) for g in groups.values()]
 
+    def scan_whole(self, t: tuple, found: list[Partition], graphs: Graphs) -> Rel:
+        """One read of a loaded store's files for many of its partitions; objects of several types come as poly."""
+        df = self.catalog.whole()
+        if len(found) < len(self.catalog.partitions):
+            df = df.where(F.col("part").isin([x.source for x in found]))
+        subjects, objects = ({getter(x) for x in found} for getter in (lambda x: x.subject, lambda x: x.object))
+        if len(subjects) > 1:
+            kind = F.when(F.col("s_kind") == "iri", IRI_KIND).otherwise(BNODE_KIND)
+            df = df.withColumn("__s", F.struct(kind.alias("kind"), F.col("s").alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang")).cast(POLY))
+        if len(objects) > 1:
+            kind = F.when(F.col("o_kind") == "iri", IRI_KIND).when(F.col("o_kind") == "bnode", BNODE_KIND).otherwise(LIT_KIND)
+            df = df.withColumn("__o", F.struct(kind.alias("kind"), F.coalesce("o_text", *[lexical(E(F.col(c), lit(dt))) for dt, c in native_columns().items()]).alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang")).cast(POLY))
+        subject = TermMap("lit", "__s", mixed=True) if len(subjects) > 1 else subjects.pop()
+        object_ = TermMap("lit", "__o", mixed=True) if len(objects) > 1 else objects.pop()
+        whole = Partition(None, found[0].source, subject, object_, graphs="g", rows=sum(x.rows for x in found), subjects=max(x.subjects for x in found), objects=1)
+        return self._scan_from(df, [(t, whole)], graphs, [])
+
     def scan_rows(self, t: tuple, parts: list[Partition], graphs: Graphs) -> Rel:
         s, p, o = t
         objects = [E(x.object.column(), self.vt_of(x.object)) for x in parts]
@@ -204,7 +234,8 @@ class Compiler(PathMixin):
 
     # -- patterns ------------------------------------------------------------------------------------------------------
 
-    def pattern(self, p: tuple, g: Graphs) -> Rel:
+    def pattern(self, p: tuple, g: Graphs, known: list | None = None) -> Rel:
+        """known: conditions that the solutions will have to meet; they are met early where that saves work."""
         kind = p[0]
         if kind == "bgp":
             return self.bgp([self._bound(t) for t in p[1]], g)
@@ -214,7 +245,7 @@ class Compiler(PathMixin):
         if kind == "join":
             parts = self._flat(p)
             if all(x[0] in ("bgp", "path") for x in parts):
-                return self.joined([self.pattern(x, g) for x in parts])
+                return self.with_paths(parts, g, known or [])
             return join(self.pattern(p[1], g), self.pattern(p[2], g))
         if kind == "left":
             a, b = self.pattern(p[1], g), self.pattern(p[2], g)
@@ -225,7 +256,7 @@ class Compiler(PathMixin):
                 extra = lambda look: F.coalesce(truth(self.value(p[3], look)), F.lit(False))
             return join(a, b, "left", extra)
         if kind == "filter":
-            return self.filtered(p[1], self.pattern(p[2], g), g)
+            return self.filtered(p[1], self.pattern(p[2], g, (known or []) + [c for c in _conjuncts(p[1]) if not _has_exists(c)]), g)
         if kind == "union":
             return union([self.pattern(p[1], g), self.pattern(p[2], g)])
         if kind == "minus":
@@ -249,6 +280,34 @@ class Compiler(PathMixin):
             raise NotImplementedError("SERVICE would need a network")
         raise SparqlError(f"no pattern {kind}")
 
+    def with_paths(self, parts: list[tuple], g: Graphs, known: list) -> Rel:
+        """Triples first, those linked by variables together; a repeated path starts from the nodes that they leave for one of its ends."""
+        rels, later = [], []
+        for x in parts:
+            if x[0] == "path":
+                s, _, o = self._bound((x[1], None, x[3]))
+                if isinstance(x[2], tuple) and x[2][0] in ("plus", "star") and isinstance(s, Var) and isinstance(o, Var) and s != o:
+                    later.append((s, x[2], o))
+                else:
+                    rels.append((self.path(s, x[2], o, g), set()))
+                continue
+            for triples in _linked([self._bound(t) for t in x[1]]):
+                rels.append((self.bgp(triples, g), {y.name for t in triples for y in (t[0], t[2]) if isinstance(y, Var)}))
+        if not rels and not later:
+            return unit(self.spark)
+        for i, (r, nodes) in enumerate(rels):
+            own = [c for c in known if (names := mentioned(c)) and all(n in r.vt and not r.vt[n].opt for n in names)]
+            if own:
+                rels[i] = (self.filtered(_all(own), r, g), nodes)
+        for s, path, o in later:
+            ends = sorted(((r.size, k, r) for r, nodes in rels for k, end in enumerate((s, o)) if end.name in nodes), key=lambda x: x[:2])
+            if not ends:
+                rels.append((self.path(s, path, o, g), set()))
+                continue
+            _, k, r = ends[0]
+            rels.append((self.path_from(s, path, o, g, r, k), set()))
+        return self.joined([r for r, _ in rels])
+
     def _optional_exists(self, a: Rel, b: Rel, e, g: Graphs) -> Rel:
         """OPTIONAL whose condition holds an EXISTS: the joined rows that meet it, and the left rows that have none. Left rows are numbered once and settled."""
         rows = Rel(settled(a.df.withColumn("__row", F.monotonically_increasing_id())), a.vt | {"__row": lit(INTEGER)}, a.size)
@@ -313,11 +372,16 @@ class Compiler(PathMixin):
         marks: dict[int, str] = {}
         for x in _find_exists(e):
             inner, cond = self.inner(x[1], r, g)
-            if cond is not None:
-                raise SparqlError("an outer variable in a filter of EXISTS inside an expression is not supported")
             self.marks += 1
             name = f"__mark{self.marks}"
-            flagged = Rel(inner.df.select(*[F.col(f"`{n}`") for n in inner.vt]).distinct().withColumn(name, F.lit("1")) if inner.vt else inner.df.select(F.lit("1").alias(name)), inner.vt | {name: VT("lit", STRING)}, inner.size)
+            mark = VT("lit", STRING)
+            if cond is None:
+                flagged = Rel(inner.df.select(*[F.col(f"`{n}`") for n in inner.vt]).distinct().withColumn(name, F.lit("1")) if inner.vt else inner.df.select(F.lit("1").alias(name)), inner.vt | {name: mark}, inner.size)
+            else:  # a variable of the outer solution in a filter: rows are numbered once and settled, and those with a match are marked
+                row = f"{name}row"
+                r = Rel(settled(r.df.withColumn(row, F.monotonically_increasing_id())), r.vt | {row: lit(INTEGER)}, r.size)
+                met = semi(r, inner, "left_semi", cond).keep([row])
+                flagged = Rel(met.df.withColumn(name, F.lit("1")), met.vt | {name: mark}, met.size)
             r = join(r, flagged, "left")
             marks[id(x)] = name
         if not marks:
@@ -446,15 +510,18 @@ class Compiler(PathMixin):
         vt, col = e.vt, e.col
         if name == "COUNT":
             return (F.count_distinct(col) if distinct else F.count(col)), lit(INTEGER)
+        if name in ("SUM", "AVG") and vt.kind == "poly":
+            return self.mixed_total(name, distinct, e)
         if name in ("SUM", "AVG"):
-            x = number(e) if vt.kind == "poly" or vt.dt in (DOUBLE, FLOAT) else col.cast("decimal(38,18)") if vt.dt == DECIMAL else col.cast("bigint") if numeric(vt) else None
-            dt = DOUBLE if vt.kind == "poly" or vt.dt in (DOUBLE, FLOAT) else DECIMAL if vt.dt == DECIMAL else INTEGER
+            x = number(e) if vt.dt in (DOUBLE, FLOAT) else col.cast("decimal(38,18)") if vt.dt == DECIMAL else col.cast("bigint") if numeric(vt) else None
+            dt = DOUBLE if vt.dt in (DOUBLE, FLOAT) else DECIMAL if vt.dt == DECIMAL else INTEGER
             if x is None:  # an error in every row; no rows at all give 0
                 return F.when(F.count(F.lit(1)) == 0, F.lit(0)).cast("bigint"), lit(INTEGER)
-            total = F.sum_distinct(x) if distinct else F.sum(x)
+            # beyond 64 bits a sum is unbound
+            total = F.try_sum(x) if not distinct else F.sum_distinct(x) if dt != INTEGER else F.sum_distinct(x.cast("decimal(20,0)")).try_cast("bigint")
             if name == "SUM":
                 zero = F.lit(0).cast("decimal(38,18)" if dt == DECIMAL else "double" if dt == DOUBLE else "bigint")
-                return F.coalesce(total.cast("decimal(38,18)") if dt == DECIMAL else total, zero), lit(dt)
+                return F.when(F.count(x) == 0, zero).otherwise(total.try_cast("decimal(38,18)") if dt == DECIMAL else total), lit(dt)
             n = F.count_distinct(x) if distinct else F.count(x)
             if dt == DOUBLE:
                 return F.coalesce(F.try_divide(total, n), F.lit(0.0)), lit(DOUBLE)
@@ -474,6 +541,21 @@ class Compiler(PathMixin):
             return F.array_join(F.sort_array(items), separator), lit(STRING)
         raise SparqlError(f"no aggregate {name}")
 
+    @staticmethod
+    def mixed_total(name: str, distinct: bool, e: E):
+        """SUM and AVG of numbers of several types: the total has the type to which all are promoted."""
+        value, sum_of = number(e), F.sum_distinct if distinct else F.sum
+        exact = F.when(e.col["dt"].isin(*WHOLE, DECIMAL), e.col["lex"].try_cast("decimal(38,18)"))
+        some = lambda *dts: F.coalesce(F.max(e.col["dt"].isin(*dts)), F.lit(False))
+        decimals, doubles = sum_of(exact).try_cast("decimal(38,18)"), sum_of(value)
+        all_exact = ~some(DOUBLE, FLOAT)
+        if name == "SUM":
+            made = number_term(all_exact & ~some(DECIMAL), all_exact, decimals, doubles)
+        else:
+            n = F.count_distinct(value) if distinct else F.count(value)
+            made = number_term(F.lit(False), all_exact, F.try_divide(decimals, n.cast("decimal(20,0)")).try_cast("decimal(38,18)"), F.try_divide(doubles, n))
+        return F.when(F.count(value) == 0, poly(constant(Lit("0", INTEGER)))).otherwise(made.col), made.vt
+
     def run(self, q: Query) -> tuple[DataFrame, dict[str, VT]]:
         """The result as shown, with the types of its columns."""
         g = Graphs(tuple(q.graphs), tuple(q.named))
@@ -565,6 +647,16 @@ def _meet(a: TermMap, b: TermMap) -> bool:
     return a.prefix is None or b.prefix is None or a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix)
 
 
+def _linked(triples: list[tuple]) -> list[list[tuple]]:
+    """Triples in groups that share no variable."""
+    groups: list[tuple[set, list]] = []
+    for t in triples:
+        names = {x.name for x in t if isinstance(x, Var)}
+        met = [x for x in groups if x[0] & names]
+        groups = [x for x in groups if x not in met] + [(names.union(*[x[0] for x in met]), [y for x in met for y in x[1]] + [t])]
+    return [x[1] for x in groups]
+
+
 def _conjuncts(e) -> list:
     return _conjuncts(e[1]) + _conjuncts(e[2]) if isinstance(e, tuple) and e[0] == "and" else [e]
 

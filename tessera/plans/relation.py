@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tessera.values import VT, E, common, same_term, to
 
 
+#: Joins on up to so many variables that may be unbound are taken apart by which are bound.
+MOST_LOOSE = 3
+
+
 @dataclass
 class Rel:
     df: DataFrame
@@ -55,9 +59,9 @@ def join(a: Rel, b: Rel, how: str = "inner", extra=None) -> Rel:
     """
     shared = [n for n in a.vt if n in b.vt]
     loose = [n for n in shared if a.vt[n].opt or b.vt[n].opt]
-    if how == "inner" and loose and len(loose) <= 2 and extra is None:
+    if how == "inner" and loose and len(loose) <= MOST_LOOSE and extra is None:
         return _join_apart(a, b, loose)
-    if how == "left" and loose and len(loose) <= 2 and not any(b.vt[n].opt for n in loose):
+    if how == "left" and loose and len(loose) <= MOST_LOOSE and not any(b.vt[n].opt for n in loose):
         return union([join(_parted(a, loose, bound), b, how, extra) for bound in product((True, False), repeat=len(loose))])
     left, right = _renamed(a, "l_"), _renamed(b, "r_")
     conditions, values = [], {}
@@ -144,6 +148,9 @@ def minus(a: Rel, b: Rel) -> Rel:
         return a
     right = b.keep(shared)
     right = Rel(right.df.distinct(), right.vt, right.size)
+    loose = [n for n in shared if a.vt[n].opt or right.vt[n].opt]
+    if len(loose) <= MOST_LOOSE:
+        return _semi_apart(a, right, loose, "left_anti", None, True) if loose else semi(a, right, "left_anti")
     conditions, some = [], []
     for n in shared:
         cond, _ = _match(a, right, n, a.vt[n].opt or right.vt[n].opt)
@@ -155,9 +162,29 @@ def minus(a: Rel, b: Rel) -> Rel:
     return Rel(df.select(*[F.col(f"`l_{n}`").alias(n) for n in a.vt]), a.vt, a.size)
 
 
+def _semi_apart(a: Rel, b: Rel, loose: list[str], how: str, extra, some_shared: bool) -> Rel:
+    """Rows that are alike in which of the loose variables they bind, against each such part of b, by equality of what both bind."""
+    out = []
+    for bound_a in product(*[(True, False) if a.vt[n].opt else (True,) for n in loose]):
+        rest, hits = _parted(a, loose, bound_a), []
+        for bound_b in product(*[(True, False) if b.vt[n].opt else (True,) for n in loose]):
+            q = _parted(b, loose, bound_b)
+            if some_shared and not set(rest.vt) & set(q.vt):
+                continue
+            if how == "left_semi":
+                hits.append(semi(rest, q, how, extra))
+            rest = semi(rest, q, "left_anti", extra)
+        out.append(union(hits) if how == "left_semi" else rest)
+    made = union(out)
+    return Rel(made.keep(a.vt).df, {n: replace(made.vt[n], opt=a.vt[n].opt) for n in a.vt}, a.size)
+
+
 def semi(a: Rel, b: Rel, how: str, extra=None) -> Rel:
     """left_semi or left_anti on the shared variables; extra(lookup) is a further condition over both."""
     shared = [n for n in a.vt if n in b.vt]
+    loose = [n for n in shared if a.vt[n].opt or b.vt[n].opt]
+    if loose and len(loose) <= MOST_LOOSE:
+        return _semi_apart(a, b, loose, how, extra, False)
     conditions = []
     for n in shared:
         cond, _ = _match(a, b, n, a.vt[n].opt or b.vt[n].opt)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.store import QuadStore
 
@@ -115,21 +116,39 @@ QUERIES: dict[str, tuple[str, str]] = {
     "fn_terms": ('SELECT ?k (STR(?s) AS ?a) (isIRI(?s) AS ?b) (isNumeric(?k) AS ?c) (DATATYPE(?k) AS ?d) (IRI(CONCAT("http://e/", STR(?k))) AS ?e) (sameTerm(?s, n:3) AS ?f) (STRDT(STR(?k), xsd:double) AS ?g) (LANG(STRLANG("x", "EN")) AS ?h) WHERE { ?s v:n_nationkey ?k }', f"SELECT n_nationkey AS k, {X}nation/' || n_nationkey AS a, true AS b, true AS c, 'http://www.w3.org/2001/XMLSchema#int' AS d, 'http://e/' || n_nationkey AS e, n_nationkey = 3 AS f, n_nationkey::DOUBLE AS g, 'en' AS h FROM nation"),
     "fn_boolean": ("SELECT ?t (COUNT(*) AS ?n) WHERE { ?l v:toxic ?t FILTER(?t || !?t) } GROUP BY ?t", "SELECT toxic = 1 AS t, count(*) AS n FROM labels GROUP BY 1"),
     "fn_gyear": ('SELECT ?y (COUNT(*) AS ?n) WHERE { ?o v:o_year ?y FILTER(?y >= "1996"^^xsd:gYear) } GROUP BY ?y', "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders WHERE year(o_orderdate) >= 1996 GROUP BY 1"),
+    "fn_not_in": ("SELECT ?k (?k NOT IN (1, 2, 3) AS ?c) WHERE { ?s v:n_nationkey ?k }", "SELECT n_nationkey AS k, n_nationkey NOT IN (1, 2, 3) AS c FROM nation"),
+    "fn_sha2": ("SELECT ?n (STRLEN(SHA384(?n)) AS ?a) (STRLEN(SHA512(?n)) AS ?b) (SHA256(?n) AS ?c) WHERE { ?s v:n_name ?n }", "SELECT n_name AS n, 96 AS a, 128 AS b, sha256(n_name) AS c FROM nation"),
+    "is_literal": ("SELECT ?p (COUNT(*) AS ?n) FROM g:nation WHERE { ?s ?p ?o FILTER(isLiteral(?o)) } GROUP BY ?p", f"SELECT {X}v#n_name' AS p, count(*) AS n FROM nation UNION ALL SELECT {X}v#n_nationkey', count(*) FROM nation"),
+    "fn_bnode": ('SELECT (COUNT(*) AS ?n) (COUNT(DISTINCT ?b) AS ?texts) (COUNT(DISTINCT ?c) AS ?fresh) WHERE { ?s v:n_name ?x BIND(BNODE("a") AS ?b) BIND(BNODE() AS ?c) }', "SELECT count(*) AS n, count(*) AS texts, count(*) AS fresh FROM nation"),
+    "fn_fresh": ('SELECT (COUNT(DISTINCT ?u) AS ?uuids) (COUNT(DISTINCT ?t) AS ?texts) (COUNT(*) AS ?n) WHERE { ?s v:n_name ?x BIND(UUID() AS ?u) BIND(STRUUID() AS ?t) BIND(RAND() AS ?r) FILTER(?r >= 0 && ?r < 1 && NOW() > "2020-01-01T00:00:00"^^xsd:dateTime) }', "SELECT count(*) AS uuids, count(*) AS texts, count(*) AS n FROM nation"),
+    "reduced": ("SELECT (COUNT(DISTINCT ?k) AS ?n) WHERE { SELECT REDUCED ?k WHERE { ?c v:c_nationkey ?k } }", "SELECT count(DISTINCT c_nationkey) AS n FROM customer"),
+    "exists_outer_variable": ("SELECT ?c WHERE { ?c v:c_acctbal ?b FILTER(?b > 9000 || EXISTS { ?o v:o_custkey ?c ; v:o_totalprice ?t FILTER(?t > ?b * 300) }) }", f"SELECT {X}customer/' || c_custkey AS c FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 300)"),
+    "minus_optional": (
+        "SELECT ?d ?q WHERE { ?d v:n_chars ?n OPTIONAL { ?l v:labels ?d ; v:quality ?q } MINUS { ?x v:labels ?d ; v:quality ?q ; v:toxic true } }",
+        f"SELECT {X}documents/' || d.doc_id AS d, quality AS q FROM documents d LEFT JOIN labels l USING (doc_id) WHERE toxic IS NULL OR toxic = 0",
+    ),
     "iri_objects": ("SELECT ?p ?u WHERE { ?p v:url ?u FILTER(isIRI(?u)) }", f"SELECT {X}pages/' || page_id AS p, url AS u FROM pages"),
 }
 
 
+def comparable(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, as the oracles give them."""
+    return df.select(*[F.col(f"`{n}`").cast("double").alias(n) if kind.startswith("decimal") else F.col(f"`{n}`") for n, kind in df.dtypes])
+
+
 def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: QuadStore.tables(spark, sf_dir).sparql(PREFIXES + text)
+    return lambda spark, sf_dir: comparable(QuadStore.tables(spark, sf_dir).sparql(PREFIXES + text))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tessera.loaded_queries import QUERIES as LOADED
     from tessera.operators.dictionary import QUERIES as DICTIONARY
 
-    return {k: _runner(text) for k, (text, _) in QUERIES.items()} | {k: f for k, (f, _) in DICTIONARY.items()}
+    return {k: _runner(text) for k, (text, _) in QUERIES.items()} | {k: f for k, (f, _) in (DICTIONARY | LOADED).items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.loaded_queries import QUERIES as LOADED
     from tessera.operators.dictionary import QUERIES as DICTIONARY
 
-    return {k: sql for k, (_, sql) in QUERIES.items()} | {k: sql for k, (_, sql) in DICTIONARY.items() if sql}
+    return {k: sql for k, (_, sql) in QUERIES.items()} | {k: sql for k, (_, sql) in (DICTIONARY | LOADED).items() if sql}

@@ -46,17 +46,32 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[term(F.col(f"`{c}`")).alias(c) for c in df.columns])).alias("value"))
 
 
+def xml_lines(df: DataFrame) -> DataFrame:
+    """A `result` element for each solution; xml_ends() gives what stands around them."""
+
+    def safe(c: Column) -> Column:
+        for found, wanted in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            c = F.replace(c, F.lit(found), F.lit(wanted))
+        return c
+
+    def binding(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        tag = F.when(c["kind"] == 0, F.lit("bnode")).when(c["kind"] == 1, F.lit("uri")).otherwise(F.lit("literal"))
+        more = F.when(c["lang"].isNotNull(), F.concat(F.lit(' xml:lang="'), safe(c["lang"]), F.lit('"'))).when(c["dt"] != STRING, F.concat(F.lit(' datatype="'), safe(c["dt"]), F.lit('"'))).otherwise(F.lit(""))
+        return F.when(c.isNotNull(), F.concat(F.lit(f'<binding name="{escape(name)}"><'), tag, more, F.lit(">"), safe(c["lex"]), F.lit("</"), tag, F.lit("></binding>")))
+
+    return df.select(F.concat(F.lit("<result>"), F.concat_ws("", *[binding(c) for c in df.columns]), F.lit("</result>")).alias("value"))
+
+
+def xml_ends(names: list[str]) -> tuple[str, str]:
+    head = "".join(f'<variable name="{escape(n)}"/>' for n in names)
+    return f'<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>{head}</head><results>', "</results></sparql>"
+
+
 def xml_text(df: DataFrame) -> str:
-    """A whole SPARQL XML result, on the driver: for results that a client reads."""
-    out = ['<?xml version="1.0"?><sparql xmlns="http://www.w3.org/2005/sparql-results#"><head>', *[f'<variable name="{c}"/>' for c in df.columns], "</head><results>"]
-    for r in df.toLocalIterator():
-        out.append("<result>")
-        for c in df.columns:
-            if (t := r[c]) is not None:
-                tag, more = ("bnode", "") if t["kind"] == 0 else ("uri", "") if t["kind"] == 1 else ("literal", f' xml:lang="{t["lang"]}"' if t["lang"] else f' datatype="{t["dt"]}"' if t["dt"] != STRING else "")
-                out.append(f'<binding name="{c}"><{tag}{more}>{escape(t["lex"])}</{tag}></binding>')
-        out.append("</result>")
-    return "".join([*out, "</results></sparql>"])
+    """A whole SPARQL XML result, for results that a client reads; larger ones are written by xml_lines()."""
+    first, last = xml_ends(df.columns)
+    return "".join([first, *(r["value"] for r in xml_lines(df).toLocalIterator()), last])
 
 
 def quads_text(store, graphs: list[str] | None = None) -> DataFrame:
@@ -65,8 +80,11 @@ def quads_text(store, graphs: list[str] | None = None) -> DataFrame:
 
     c = Compiler(store.spark, store.catalog)
     active = Graphs(named=tuple(graphs or ()), var="g")
-    found = c.partitions(Var("s"), Var("p"), Var("o"), active)
-    r = union([c.scan([((Var("s"), Var("p"), Var("o")), p)], active) for p in found])
+    triple = (Var("s"), Var("p"), Var("o"))
+    found = c.partitions(*triple, active)
+    if not found:
+        return store.spark.createDataFrame([], "value string")
+    r = union(c.scans(triple, found, active))
     terms = [term_text(poly(E(F.col(f"`{n}`"), r.vt[n]))) for n in ("s", "p", "o", "g")]
     return r.df.select(F.concat_ws(" ", *terms, F.lit(".")).alias("value"))
 

@@ -1,4 +1,6 @@
-"""RDF syntaxes. N-Triples and N-Quads are read line by line, so files split; Turtle, TriG and RDF/XML file by file, in a task each.
+"""RDF syntaxes. N-Triples and N-Quads are read line by line, so files split. Turtle, TriG and RDF/XML need a file's lines in order: they are sorted to
+one task and parsed as they come, so a task holds a statement or an element's ancestors, never a file. All files of a kind are one scan. Files under xz, lz4 and zst, for
+which Spark has no reader, come as one value each (under 2 GB as compressed) and are decompressed in pieces.
 
 All give quads: s, s_kind, p, o_lex, o_kind, o_dt, o_lang, g (null where the syntax names no graph). A blank node's label is made of the number of its
 file and its label there, so it is the same when a task runs again.
@@ -7,6 +9,7 @@ file and its label there, so it is the same when a task runs again.
 from __future__ import annotations
 
 import bz2
+import codecs
 import gzip
 import io
 import lzma
@@ -14,6 +17,8 @@ import re
 import xml.sax
 import xml.sax.handler
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain, groupby
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -41,21 +46,48 @@ def syntax_of(path: str) -> str:
     return SYNTAXES[parts[-1]]
 
 
-def decompressed(data: bytes, path: str) -> bytes:
+def opened(data: bytes, path: str):
+    """The decompressed contents as a stream."""
     end = path.lower().rsplit(".", 1)[-1]
     if end == "gz":
-        return gzip.decompress(data)
+        return gzip.GzipFile(fileobj=io.BytesIO(data))
     if end == "bz2":
-        return bz2.decompress(data)
+        return bz2.BZ2File(io.BytesIO(data))
     if end == "xz":
-        return lzma.decompress(data)
+        return lzma.LZMAFile(io.BytesIO(data))
     if end in ("zst", "zstd"):
         import zstandard
 
-        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read()
+        return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True)
     if end == "lz4":
-        return pa.CompressedInputStream(pa.BufferReader(data), "lz4").read()
-    return data
+        return pa.CompressedInputStream(pa.BufferReader(data), "lz4")
+    return io.BytesIO(data)
+
+
+def pieces(stream, size: int = 1 << 20) -> Iterator[bytes]:
+    while piece := stream.read(size):
+        yield piece
+
+
+def listed(spark: SparkSession, files: list[tuple[str, str, int]]) -> tuple[list[str], DataFrame]:
+    """The paths to read, and (file, path, graph, n) of each file that Spark will find there; a folder stands for its files."""
+    hadoop, conf, paths, rows = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration(), [], []
+    for path, graph, n in files:
+        where = hadoop(path)
+        found = where.getFileSystem(conf).globStatus(where) or []
+        for x in found:
+            inner = x.getPath().getFileSystem(conf).listStatus(x.getPath()) if x.isDirectory() else [x]
+            own = [y.getPath() for y in inner if not y.isDirectory() and y.getPath().getName()[0] not in "._"]
+            paths += [y.toString() for y in own]
+            rows += [(plain_path(y.toUri().toString()), path, graph, n) for y in own]
+        if not found:
+            paths.append(path)  # Spark tells that it is missing
+    return paths, spark.createDataFrame(rows, "file string, path string, graph string, n int")
+
+
+def plain_path(x):
+    """A path in one of the forms in which it may be given: file:/x for file:///x."""
+    return F.regexp_replace(x, "^([a-z0-9]+):/+", "$1:/") if not isinstance(x, str) else re.sub("^([a-z0-9]+):/+", r"\1:/", x)
 
 
 def row(s, p, o, g, n: int) -> tuple:
@@ -75,16 +107,11 @@ _IRI, _BLANK, _LITERAL = r"<([^<>\"{}|^`\x00-\x20]*)>", r"_:([\w][\w.\-]*)", r"\
 LINE = rf"^\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*(?:{_IRI}|{_BLANK}|{_LITERAL})\s*(?:{_IRI})?\s*\.\s*(?:#.*)?$"
 
 
-def read_lines(spark: SparkSession, paths: list[tuple[str, int]], strict: bool = True) -> DataFrame:
-    """N-Triples and N-Quads by Spark's text reader, which decompresses gz and bz2 and splits what can be split."""
-    parts = []
-    for path, n in paths:
-        lines = spark.read.text(path).where("trim(value) <> '' and not startswith(trim(value), '#')")
-        parts.append(lines.select("value", F.lit(n).alias("n")))
-    lines = parts[0]
-    for x in parts[1:]:
-        lines = lines.unionAll(x)
-    return quads_of_lines(lines, strict)
+def read_lines(spark: SparkSession, files: list[tuple[str, str, int]], strict: bool = True) -> DataFrame:
+    """N-Triples and N-Quads by Spark's text reader, which decompresses gz and bz2 and splits what can be split. files: path, graph, number."""
+    paths, names = listed(spark, files)
+    lines = spark.read.text(paths).select("value", plain_path(F.col("_metadata.file_path")).alias("file")).where("trim(value) <> '' and not startswith(trim(value), '#')")
+    return quads_of_lines(lines.join(names, "file"), strict, ["graph"]).withColumn("g", F.coalesce("g", "graph")).drop("graph")
 
 
 def quads_of_lines(lines: DataFrame, strict: bool, also: list[str] | None = None) -> DataFrame:
@@ -143,19 +170,39 @@ _TOKEN = re.compile(
 
 
 class Turtle:
-    """A parser of Turtle and TriG; quads() yields (s, p, o, graph or None)."""
+    """A parser of Turtle and TriG; quads() yields (s, p, o, graph or None). The text may come in pieces; what is read is forgotten."""
 
-    def __init__(self, text: str, base: str = ""):
-        self.text, self.base, self.prefixes, self.at, self.fresh = text, base, {}, 0, 0
+    AHEAD = 1 << 14
+
+    def __init__(self, text: str | Iterator[str], base: str = ""):
+        self.more = iter([text] if isinstance(text, str) else text)
+        self.text, self.base, self.prefixes, self.at, self.fresh = "", base, {}, 0, 0
         self.graph: str | None = None
         self.kind, self.value = "", ""
         self.out: list[tuple] = []
         self.advance()
 
+    def fill(self, least: int) -> bool:
+        """Reads on until `least` characters lie ahead; tells whether any came."""
+        parts, ahead, came = [self.text[self.at :]], len(self.text) - self.at, False
+        while ahead < least and (piece := next(self.more, None)) is not None:
+            parts.append(piece)
+            ahead, came = ahead + len(piece), True
+        if came:
+            self.text, self.at = "".join(parts), 0
+        return came
+
     def advance(self) -> tuple[str, str]:
         was = (self.kind, self.value)
-        while self.at < len(self.text):
+        while True:
+            if len(self.text) - self.at < self.AHEAD:
+                self.fill(self.AHEAD)
+            if self.at >= len(self.text):
+                break
             m = _TOKEN.match(self.text, self.at)
+            # a token that ends where the text so far ends, or a long string without its end, may go on
+            while (not m or m.end() == len(self.text) or m[0] in ('""', "''") and self.text.startswith(m[0] + m[0][0], self.at)) and self.fill(2 * (len(self.text) - self.at)):
+                m = _TOKEN.match(self.text, self.at)
             if not m:
                 raise RdfError(f"can't read {self.text[self.at : self.at + 30]!r}")
             self.at = m.end()
@@ -415,7 +462,8 @@ class _RdfXml(xml.sax.handler.ContentHandler):
             self.out += [(r, Iri(RDF_TYPE), Iri(RDF + "Statement")), (r, Iri(RDF + "subject"), frame["s"]), (r, Iri(RDF + "predicate"), Iri(frame["tag"])), (r, Iri(RDF + "object"), o)]
 
     def characters(self, content):
-        self.stack[-1]["text"].append(content)
+        if self.stack[-1].get("role") in ("property", "xml"):
+            self.stack[-1]["text"].append(content)
 
     def endElementNS(self, name, qname):
         frame = self.stack.pop()
@@ -436,14 +484,20 @@ class _RdfXml(xml.sax.handler.ContentHandler):
             self.stack[-1]["text"].append("".join(frame["text"]))
 
 
-def rdf_xml(data: bytes, base: str = "") -> Iterator[tuple]:
+def rdf_xml(data: Iterator[bytes], base: str = "") -> Iterator[tuple]:
+    """Statements as their elements end; the parser is fed piece by piece."""
     handler = _RdfXml(base)
     parser = xml.sax.make_parser()
     parser.setFeature(xml.sax.handler.feature_namespaces, True)
     parser.setFeature(xml.sax.handler.feature_external_ges, False)
     parser.setContentHandler(handler)
     try:
-        parser.parse(io.BytesIO(data))
+        for piece in data:
+            parser.feed(piece)
+            for s, p, o in handler.out:
+                yield s, p, o, None
+            handler.out.clear()
+        parser.close()
     except xml.sax.SAXException as e:
         raise RdfError(str(e)) from e
     for s, p, o in handler.out:
@@ -453,9 +507,9 @@ def rdf_xml(data: bytes, base: str = "") -> Iterator[tuple]:
 _LINE = re.compile(LINE)
 
 
-def statements(data: bytes) -> Iterator[tuple]:
+def statements(text: Iterator[str]) -> Iterator[tuple]:
     """N-Triples and N-Quads in files that Spark's text reader can't decompress."""
-    for line in io.TextIOWrapper(io.BytesIO(data), "utf-8", newline="\n"):
+    for line in _lines(text):
         line = line.strip()
         if not line or line[0] == "#":
             continue
@@ -471,47 +525,98 @@ def statements(data: bytes) -> Iterator[tuple]:
         yield subject, Iri(unescape(p)), obj, None if g is None else unescape(g)
 
 
+PACKED = ("xz", "lz4", "zst", "zstd")
+
+
 def by_line(path: str) -> bool:
     """Whether Spark's text reader can read it: lines, plain or by a codec that needs no native library."""
-    return syntax_of(path) in ("ntriples", "nquads") and path.lower().rsplit(".", 1)[-1] not in ("xz", "lz4", "zst", "zstd")
+    return syntax_of(path) in ("ntriples", "nquads") and path.lower().rsplit(".", 1)[-1] not in PACKED
 
 
-def parse_file(data: bytes, path: str, base: str) -> Iterator[tuple]:
-    data = decompressed(data, path)
+def _lines(text: Iterator[str]) -> Iterator[str]:
+    rest = ""
+    for piece in text:
+        *whole, rest = (rest + piece).split("\n")
+        yield from whole
+    yield rest
+
+
+def parse(data: Iterator[bytes], path: str, base: str) -> Iterator[tuple]:
+    """The statements of a file whose decompressed contents come in pieces."""
     if syntax_of(path) == "rdfxml":
         return rdf_xml(data, base)
-    if syntax_of(path) in ("ntriples", "nquads"):
-        return statements(data)
-    return Turtle(data.decode("utf-8"), base).quads()
+    text = codecs.iterdecode(data, "utf-8")
+    return statements(text) if syntax_of(path) in ("ntriples", "nquads") else Turtle(text, base).quads()
+
+
+def parse_file(data: bytes, path: str, base: str) -> Iterator[tuple]:
+    return parse(pieces(opened(data, path)), path, base)
+
+
+NAMES = [f.split()[0] for f in QUAD.split(", ")]
+
+
+def _rows(found: Iterator[tuple], n: int, graph: str, strict: bool) -> Iterator[pa.RecordBatch]:
+    """Batches of quads; what names no graph is in the file's. Not strict: what comes before an error counts."""
+    rows = []
+    try:
+        for s, p, o, g in found:
+            rows.append(row(s, p, o, g or graph, n))
+            if len(rows) == 10_000:
+                yield _batch(rows, NAMES)
+                rows = []
+    except (RdfError, UnicodeDecodeError):
+        if strict:
+            raise
+    if rows:
+        yield _batch(rows, NAMES)
 
 
 def read_files(spark: SparkSession, files: list[tuple[str, str, int]], strict: bool = True) -> DataFrame:
-    """Turtle, TriG, RDF/XML (and lines under xz, lz4 or zst): one task reads a file whole. files: path, base, number."""
-    listed = spark.createDataFrame(files, "path string, base string, n int")
-    parts = [spark.read.format("binaryFile").load(path).select("content", F.lit(path).alias("path")) for path, _, _ in files]
-    data = parts[0]
-    for x in parts[1:]:
-        data = data.unionAll(x)
-    data = data.join(F.broadcast(listed), "path").select("content", "path", "base", "n")
+    """Turtle, TriG, RDF/XML, and lines under xz, lz4 or zst. files: path, graph (and base), number."""
+    packed = [x for x in files if x[0].lower().rsplit(".", 1)[-1] in PACKED]
+    plain = [x for x in files if x not in packed]
+    parts = ([_read_ordered(spark, plain, strict)] if plain else []) + ([_read_packed(spark, packed, strict)] if packed else [])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_packed(spark: SparkSession, files: list[tuple[str, str, int]], strict: bool) -> DataFrame:
+    paths, names = listed(spark, files)
+    data = spark.read.format("binaryFile").load(paths).select(plain_path(F.col("path")).alias("file"), "content").join(names, "file").select("content", "path", "graph", "n")
 
     def run(batches):
-        names = [f.split()[0] for f in QUAD.split(", ")]
         for batch in batches:
-            for content, path, base, n in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = []
-                try:
-                    for q in parse_file(content, path, base):
-                        rows.append(row(*q, n))
-                        if len(rows) == 10_000:
-                            yield _batch(rows, names)
-                            rows = []
-                except (RdfError, UnicodeDecodeError):
-                    if strict:
-                        raise
-                if rows:
-                    yield _batch(rows, names)
-
-    return data.repartition(max(1, len(files))).mapInArrow(run, QUAD)
+            for content, path, graph, n in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from _rows(parse_file(content, path, graph), n, graph, strict)
+
+    return data.mapInArrow(run, QUAD)
+
+
+def _read_ordered(spark: SparkSession, files: list[tuple[str, str, int]], strict: bool) -> DataFrame:
+    paths, names = listed(spark, files)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("place")
+    lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("value").cast("binary").alias("value"), plain_path(F.col("_metadata.file_path")).alias("file"), place)
+    lines = lines.join(names, "file").select("n", "file", "place", "value", "path", "graph")
+    n = max(1, min(len(paths), 10 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def run(batches):
+        rows = ((file, value, path, graph, n) for b in batches for file, value, path, graph, n in zip(*(b.column(c).to_pylist() for c in ("file", "value", "path", "graph", "n"))))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            first = next(own)
+            yield from _rows(parse(_joined(r[1] for r in chain([first], own)), first[2], first[3]), first[4], first[3], strict)
+
+    return lines.repartition(n, "file").sortWithinPartitions("file", "place").mapInArrow(run, QUAD)
+
+
+def _joined(lines: Iterator[bytes], size: int = 1 << 16) -> Iterator[bytes]:
+    held, length = [], 0
+    for line in lines:
+        held.append(line)
+        length += len(line) + 1
+        if length >= size:
+            yield b"\n".join(held) + b"\n"
+            held, length = [], 0
+    yield b"\n".join(held) + b"\n"
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:

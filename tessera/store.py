@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from tessera.catalog import Catalog, Partition
 from tessera.plans.compiler import Compiler, Graphs
 from tessera.sparql.parser import parse
 from tessera.terms import Iri, Var
-from tessera.values import VT, iri_text, output
+from tessera.values import VT, iri_text, native_columns, output
 
 
 class ReadOnlyError(RuntimeError):
@@ -59,30 +61,32 @@ class QuadStore:
         return self.catalog.of(predicate)
 
     def size(self, graphs: list[str] | None = None) -> int:
-        """The number of triples, of some graphs or of all."""
-        return self.statements(graphs=graphs).count()
+        """The number of triples, of some graphs or of all. Of all it is in a loaded store's catalog."""
+        if not graphs and self.catalog.whole:
+            return sum(p.rows for p in self.catalog.partitions)
+        return self.statements(graphs=graphs).count() if self.catalog.partitions else 0
 
     def graphs(self) -> DataFrame:
         """The graphs' IRIs."""
-        parts = [self.spark.createDataFrame([(g,)], "graph string") for g in dict.fromkeys(p.graph for p in self.catalog.partitions if p.graph)]
+        if self.catalog.whole:
+            return self.catalog.whole().select(F.explode("g").alias("graph")).distinct()
+        parts = [self.spark.createDataFrame([(g,) for g in dict.fromkeys(p.graph for p in self.catalog.partitions if p.graph)], "graph string")]
         for source, graphs in dict.fromkeys((p.source, p.graphs) for p in self.catalog.partitions if p.graphs):
             parts.append(self.catalog.frame(source).select(F.explode(F.expr(graphs)).alias("graph")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out.distinct()
+        return reduce(DataFrame.unionAll, parts).distinct()
 
     def statistics(self) -> DataFrame:
         """predicate, triples, subjects, objects of each predicate."""
-        compiler, parts = Compiler(self.spark, self.catalog), []
+        if self.catalog.whole:
+            value = F.struct("o_kind", F.coalesce("o_text", *[F.col(c).cast("string") for c in native_columns().values()]), "o_dt", "o_lang")
+            return self.catalog.whole().groupBy(F.col("p").alias("predicate")).agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s_kind", "s").alias("subjects"), F.count_distinct(value).alias("objects"))
+        compiler = Compiler(self.spark, self.catalog)
+        parts = [self.spark.createDataFrame([], "predicate string, s string, o string")]
         for p in self.catalog.partitions:
             r = compiler.scan([((Var("s"), Iri(p.predicate), Var("o")), p)], Graphs())
             s = iri_text(r.e("s")) if r.vt["s"].kind == "iri" else F.concat(F.lit("_:"), F.col("s"))
             parts.append(r.df.select(F.lit(p.predicate).alias("predicate"), s.alias("s"), output(r.e("o")).cast("string").alias("o")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionAll(p)
-        return out.groupBy("predicate").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
+        return reduce(DataFrame.unionAll, parts).groupBy("predicate").agg(F.count(F.lit(1)).alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
 
     def namespaces(self) -> dict[str, str]:
         return dict(self.catalog.namespaces)

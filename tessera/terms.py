@@ -74,3 +74,19 @@ def n_triples(t: Term) -> str:
         return f"_:{t.label}"
     body = '"' + "".join(_escape.get(c, c) for c in t.lex) + '"'
     return body + (f"@{t.lang}" if t.lang else "" if t.dt == STRING else f"^^<{t.dt}>")
+
+
+_FORM = re.compile(r"""<([^<>"{}|^`\x00-\x20]*)>|_:(\w(?:[\w.\-]*[\w\-])?)|"((?:[^"\\\n\r]|\\.)*)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>\s]*)>)?""", re.S)
+
+
+def parse_term(text: str) -> Term:
+    """The term of an N-Triples form: the inverse of n_triples()."""
+    m = _FORM.fullmatch(text.strip())
+    if not m:
+        raise ValueError(f"not a term: {text!r}")
+    iri, label, lex, lang, dt = m.groups()
+    if iri is not None:
+        return Iri(unescape(iri))
+    if label is not None:
+        return BNode(label)
+    return Lit(unescape(lex), LANG_STRING, lang.lower()) if lang else Lit(unescape(lex), unescape(dt) if dt else STRING)

@@ -1,17 +1,19 @@
 """Static types of query columns and the conversions between their forms.
 
 A column of one type (mono) holds native values: the key after a template's prefix, or the whole IRI; a label; a literal's value. Where a
-variable may hold terms of several types it is poly: a struct of kind, lexical form, datatype and language. Null is unbound, and in expressions an error.
+variable may hold terms of several types it is poly: a struct of kind, lexical form, datatype and language; so are literals that no native column can hold (dates and times with an
+offset, whole numbers beyond 64 bits, decimals beyond 18 places). Null is unbound, and in expressions an error.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.terms import BOOLEAN, DATE, DATE_TIME, DECIMAL, DOUBLE, FLOAT, GYEAR, LANG_STRING, LEXICAL, NATIVE, NUMERIC, STRING, WHOLE, BNode, Iri
+from tessera.terms import BOOLEAN, DATE, DATE_TIME, DECIMAL, DOUBLE, FLOAT, GYEAR, LANG_STRING, LEXICAL, NATIVE, NUMERIC, STRING, WHOLE, BNode, Iri, Lit
 
 BNODE_KIND, IRI_KIND, LIT_KIND = 0, 1, 2
 POLY = "struct<kind:int,lex:string,dt:string,lang:string>"
@@ -47,6 +49,11 @@ def physical(dt: str | None) -> str:
     return NATIVE.get(dt, "string")
 
 
+def native_columns() -> dict[str, str]:
+    """The columns of a loaded store that hold values, by datatype."""
+    return {dt: f"o_{i}" for i, dt in enumerate(dt for dt in NATIVE if physical(dt) != "string")}
+
+
 def parsed(lex: Column, dt: str) -> Column:
     """The value of a lexical form; null where it is not one of the datatype."""
     kind = physical(dt)
@@ -63,11 +70,56 @@ def parsed(lex: Column, dt: str) -> Column:
     return lex if kind == "string" else lex.try_cast(kind)
 
 
+DATES = (DATE_TIME, DATE, GYEAR)
+OFFSET = r"(Z|[+-][0-9]{2}:[0-9]{2})\s*$"
+#: Datatypes whose values have no bound.
+UNBOUNDED = tuple(dt for dt, kind in WHOLE.items() if kind == "decimal(38,0)")
+SHORT_DECIMAL = r"^\s*[+-]?0*[0-9]{0,20}(\.[0-9]{0,18}0*)?\s*$"
+
+
+def wide(lex: Column, dt: str) -> Column:
+    """Whether a lexical form is a value that no native column can hold."""
+    if dt in DATES:
+        return parsed(lex, dt).isNotNull() & lex.rlike(OFFSET)
+    valid = lex.rlike(f"^(?:{LEXICAL[dt]})$") if dt in LEXICAL else F.lit(False)
+    if dt in UNBOUNDED:
+        return valid & parsed(lex, dt).isNull()
+    return valid & ~lex.rlike(SHORT_DECIMAL) if dt == DECIMAL else F.lit(False)
+
+
+def is_wide(term: Lit) -> bool:
+    """The same for a literal of a query."""
+    if term.dt in DATES:
+        return bool(re.search(OFFSET, term.lex))
+    if not re.fullmatch(LEXICAL.get(term.dt, "(?!)"), term.lex):
+        return False
+    if term.dt in UNBOUNDED:
+        return not -(1 << 63) <= int(term.lex) < 1 << 63
+    return term.dt == DECIMAL and not re.match(SHORT_DECIMAL, term.lex)
+
+
+def literal(lex: Column, dt: Column | str | None, lang: str | None = None) -> Column:
+    """A literal as a poly column."""
+    dt = dt if isinstance(dt, Column) else F.lit(dt).cast("string")
+    made = F.struct(F.lit(LIT_KIND).alias("kind"), lex.alias("lex"), dt.alias("dt"), F.lit(lang).cast("string").alias("lang"))
+    return F.when(lex.isNotNull() & dt.isNotNull(), made).cast(POLY)
+
+
+def instant(lex: Column, dt: Column) -> Column:
+    """The moment at which a date, a time or a year begins; without an offset it is one of UTC."""
+    offset = F.regexp_extract(lex, OFFSET, 1)
+    local = F.regexp_replace(F.trim(lex), OFFSET, "")
+    local = F.when(dt == DATE, F.concat(local, F.lit("T00:00:00"))).when(dt == GYEAR, F.concat(local, F.lit("-01-01T00:00:00"))).when(dt == DATE_TIME, local)
+    return F.concat(local, F.when(offset == "", F.lit("Z")).otherwise(offset)).try_cast("timestamp")
+
+
 def constant(term) -> E:
     if isinstance(term, Iri):
         return E(F.lit(term.value), VT("iri"), term)
     if isinstance(term, BNode):
         return E(F.lit(term.label), VT("bnode"), term)
+    if is_wide(term):
+        return E(literal(F.lit(term.lex.strip()), term.dt), VT("poly"), term)
     col = parsed(F.lit(term.lex), term.dt) if physical(term.dt) != "string" else F.lit(term.lex)
     return E(col, VT("lit", term.dt, term.lang), term)
 
@@ -180,13 +232,13 @@ def order_key(e: E) -> list[Column]:
     p = e.col
     dates = p["dt"].isin(DATE_TIME, DATE, GYEAR)
     rank = F.when(p["kind"] != LIT_KIND, p["kind"]).when(p["dt"].isin(*NUMERIC), F.lit(2)).when(dates, F.lit(3)).otherwise(F.lit(4))
-    return [rank, number(e), F.when(dates, p["lex"]), F.when(rank == 4, p["dt"]), p["lang"], p["lex"]]
+    return [rank, number(e), F.when(dates, instant(p["lex"], p["dt"])), F.when(rank == 4, p["dt"]), p["lang"], p["lex"]]
 
 
 def output(e: E) -> Column:
-    """What a result shows: native values, IRIs as text, decimals as doubles, poly terms by their lexical form."""
+    """What a result shows: native values, IRIs as text, poly terms by their lexical form."""
     if e.vt.kind == "lit" and physical(e.vt.dt) != "string":
-        return e.col.cast("double") if e.vt.dt in (DECIMAL, FLOAT) else e.col
+        return e.col.cast("double") if e.vt.dt == FLOAT else e.col
     return F.concat(F.lit("_:"), e.col) if e.vt.kind == "bnode" else lexical(e)
 
 

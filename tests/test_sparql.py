@@ -48,7 +48,7 @@ def got(store, text, **kw):
         ("SELECT ?s WHERE { ?s e:age ?x FILTER(isNumeric(?x)) }", [("http://e/a",), ("http://e/b",)]),
         ('SELECT ?s WHERE { ?s e:name ?n FILTER(LANG(?n) = "en") }', [("http://e/a",)]),
         ("SELECT ?s WHERE { ?s e:score ?n FILTER(?n > 1 || ?n <= 1) }", []),
-        ("SELECT (SUM(?x) AS ?n) WHERE { ?s e:age ?x FILTER(isNumeric(?x)) }", [(61.5,)]),
+        ("SELECT (SUM(?x) AS ?n) WHERE { ?s e:age ?x FILTER(isNumeric(?x)) }", [("61.5",)]),
         ("SELECT ?s ?n WHERE { ?s e:knows ?x OPTIONAL { ?s e:name ?n } }", [("http://e/a", "Ann"), ("http://e/b", 'Bob, "B"'), ("http://e/c", None), ("http://e/c", None)]),
         ("SELECT ?s WHERE { ?s e:knows ?x OPTIONAL { ?s e:name ?n } FILTER(!BOUND(?n)) }", [("http://e/c",), ("http://e/c",)]),
         ("SELECT ?s ?n WHERE { VALUES ?s { e:a e:c } OPTIONAL { ?s e:name ?n } ?t e:name ?n }", [("http://e/a", "Ann"), ("http://e/c", "Ann"), ("http://e/c", 'Bob, "B"')]),

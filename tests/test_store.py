@@ -7,7 +7,7 @@ import lzma
 import pytest
 
 from tessera.sources.loader import LoadError, load_quads, read_quads
-from tessera.sources.rdf import RdfError, Turtle, parse_file, syntax_of
+from tessera.sources.rdf import RdfError, Turtle, parse_file, rdf_xml, syntax_of
 from tessera.store import QuadStore, ReadOnlyError
 from tessera.terms import BOOLEAN, GYEAR, RDF_TYPE, XSD, Iri, Lit, n_triples
 
@@ -87,6 +87,79 @@ def test_values_are_terms(spark, tmp_path):
     assert [r["o"] for r in store.statements(s=None, p=Iri("http://e/p"), o=Lit("x", "http://e/own")).collect()] == ["x"]
 
 
+WIDE = f"""<http://e/a> <http://e/t> "2001-02-03T04:05:06Z"^^<{XSD}dateTime> .
+<http://e/a> <http://e/t> "2001-02-03T04:05:06+05:00"^^<{XSD}dateTime> .
+<http://e/a> <http://e/t> "2001-02-03T04:05:06"^^<{XSD}dateTime> .
+<http://e/b> <http://e/t> "2001-02-03T09:05:06+05:00"^^<{XSD}dateTime> .
+<http://e/a> <http://e/n> "123456789012345678901"^^<{XSD}integer> .
+<http://e/a> <http://e/n> "123456789012345678902"^^<{XSD}integer> .
+<http://e/a> <http://e/n> "5"^^<{XSD}integer> .
+<http://e/a> <http://e/d> "0.12345678901234567891"^^<{XSD}decimal> .
+<http://e/a> <http://e/d> "0.12345678901234567892"^^<{XSD}decimal> .
+<http://e/a> <http://e/m> "1"^^<{XSD}integer> .
+<http://e/a> <http://e/m> "0.5"^^<{XSD}decimal> .
+"""
+
+
+def test_no_term_is_lost(spark, tmp_path):
+    """Values that no native column holds stay terms of their own, and compare by value."""
+    store = stored(spark, tmp_path, WIDE)
+    assert store.size() == 11 == store.statements().count()
+    select = lambda text: sorted(map(tuple, store.sparql(f"PREFIX xsd: <{XSD}> {text}").collect()), key=str)
+    assert select("SELECT ?s (TZ(?t) AS ?z) (HOURS(?t) AS ?h) WHERE { ?s <http://e/t> ?t }") == sorted([("http://e/a", "Z", 4), ("http://e/a", "+05:00", 4), ("http://e/a", "", 4), ("http://e/b", "+05:00", 9)], key=str)
+    assert len(select('SELECT ?s WHERE { ?s <http://e/t> ?t FILTER(?t = "2001-02-03T04:05:06Z"^^xsd:dateTime) }')) == 3  # of the same instant
+    assert select('SELECT ?s WHERE { ?s <http://e/t> "2001-02-03T04:05:06Z"^^xsd:dateTime }') == [("http://e/a",)]
+    assert select('SELECT ?s WHERE { ?s <http://e/t> "2001-02-03T04:05:06"^^xsd:dateTime }') == [("http://e/a",)]
+    assert select('SELECT (TIMEZONE(?t) AS ?z) WHERE { ?s <http://e/t> ?t FILTER(TZ(?t) = "+05:00") }') == [("PT5H",), ("PT5H",)]
+    assert select('SELECT ?x WHERE { BIND("04:05" AS ?y) BIND(xsd:dateTime("2001-02-03T04:05:06Z") = xsd:dateTime("2001-02-03T05:05:06+01:00") AS ?x) }') == [(True,)]
+    assert select("SELECT ?n WHERE { ?s <http://e/n> ?n FILTER(?n > 123456789012345678901) }") == [("123456789012345678902",)]
+    assert select("SELECT ?s WHERE { ?s <http://e/n> 123456789012345678901 }") == [("http://e/a",)]
+    assert select("SELECT ?n WHERE { ?s <http://e/n> ?n } ORDER BY ?n LIMIT 1") == [("5",)]
+    assert select("SELECT (COUNT(DISTINCT ?d) AS ?n) WHERE { ?s <http://e/d> ?d }") == [(2,)]
+    assert select("SELECT (SUM(?m) AS ?t) (DATATYPE(SUM(?m)) AS ?d) (AVG(?m) AS ?a) WHERE { ?s <http://e/m> ?m }") == [("1.5", XSD + "decimal", "0.75")]
+    assert select("SELECT (DATATYPE(?m + ?m) AS ?d) (?m * 2 AS ?x) (-?m AS ?y) WHERE { ?s <http://e/m> ?m }") == sorted([(XSD + "integer", "2", "-1"), (XSD + "decimal", "1.0", "-0.5")])
+
+
+def test_empty_store(spark, tmp_path):
+    store = stored(spark, tmp_path, "# nothing\n")
+    assert store.size() == 0 and store.statements().count() == 0 and store.graphs().count() == 0 and store.statistics().count() == 0
+    assert store.sparql("SELECT ?s WHERE { ?s ?p ?o }").count() == 0 and store.sparql("SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o }").collect()[0]["n"] == 0
+
+
+def test_stars_of_a_loaded_store_need_no_shuffle(spark, tmp_path):
+    lines = "".join(f'<http://e/{i}> <http://e/p> "{i}" .\n<http://e/{i}> <http://e/q> "{i % 7}" .\n<http://e/{i}> <http://e/r> <http://e/{i % 5}> .\n' for i in range(500))
+    store = stored(spark, tmp_path, lines, buckets=4)
+    assert not any((tmp_path / "store" / "stage1").rglob("*"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = store.sparql("SELECT ?s ?a ?b ?c WHERE { ?s <http://e/p> ?a ; <http://e/q> ?b ; <http://e/r> ?c }")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SortMergeJoin") == 2
+        assert df.count() == 500 and {(r["s"], r["a"], r["b"], r["c"]) for r in df.collect()} == {(f"http://e/{i}", str(i), str(i % 7), f"http://e/{i % 5}") for i in range(500)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # a seek by object is pushed to the scan, where the files' Bloom filters serve it
+    seek = store.sparql('SELECT ?s WHERE { ?s <http://e/p> "77" }')
+    assert "EqualTo(o_text,77)" in seek._jdf.queryExecution().executedPlan().toString() and [r["s"] for r in seek.collect()] == ["http://e/77"]
+    assert {p.predicate: (p.rows, p.objects) for p in store.partitions()} == {"http://e/p": (500, pytest.approx(500, rel=0.1)), "http://e/q": (500, 7), "http://e/r": (500, 5)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tessera.sources.loader import main
+
+    (tmp_path / "a.nt").write_text(TINY)
+    (tmp_path / "bad.nt").write_text(f'<http://e/a> <http://e/p> "S"^^<{XSD}int> .')
+    (tmp_path / "ok").write_text(f"{tmp_path}/a.nt\t{GRAPH}\n")
+    (tmp_path / "value").write_text(f"{tmp_path}/bad.nt\t{GRAPH}\n")
+    (tmp_path / "graph").write_text(f"{tmp_path}/a.nt\tnot a graph:\n")
+    (tmp_path / "kind").write_text(f"{tmp_path}/a.csv\t{GRAPH}\n")
+    (tmp_path / "row").write_text("x\n")
+    codes = [main([f"file://{tmp_path}/{m}", f"file://{tmp_path}/out-{m}", "0", ".zstd"]) for m in ("ok", "value", "graph", "kind", "row")]
+    assert codes == [0, 12, 10, 1, 7]
+    assert QuadStore.open(spark, f"file://{tmp_path}/out-ok").size() == 6
+
+
 def test_bad_values_and_graphs(spark, tmp_path):
     with pytest.raises(Exception, match="not a value"):
         stored(spark, tmp_path, f'<http://e/a> <http://e/p> "S"^^<{XSD}int> .')
@@ -143,6 +216,53 @@ RDFXML = """<?xml version="1.0"?>
 </rdf:RDF>"""
 
 
+def test_turtle_in_pieces():
+    """The same statements whatever the pieces, and nothing is held but what is being read."""
+    text = TURTLE + "".join(f'e:s{i} e:p """long ""text"" {i}\n""" , "" , e:o{i} .\n' for i in range(3000))
+    whole = list(Turtle(text).quads())
+    for size in (1, 7, 1000):
+        own = Turtle(text[i : i + size] for i in range(0, len(text), size))
+        held, got = 0, []
+        for q in own.quads():
+            got.append(q)
+            held = max(held, len(own.text))
+        assert got == whole and held < 4 * Turtle.AHEAD
+
+
+def test_rdf_xml_in_pieces():
+    """A long file gives its statements as it is read."""
+    node = '<e:T rdf:about="http://e/{}"><e:p>some text</e:p></e:T>'
+    read = 0
+
+    def data():
+        nonlocal read
+        yield b'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:e="http://e/">'
+        for i in range(20_000):
+            read += 1
+            yield node.format(i).encode()
+        yield b"</rdf:RDF>"
+
+    ahead = 0
+    for k, _ in enumerate(rdf_xml(data())):
+        ahead = max(ahead, read - k // 2)
+    assert k == 39_999 and ahead < 2000
+
+
+def test_ordered_files(spark, tmp_path):
+    """Files that are split for reading are parsed in their order."""
+    body = "".join(f'e:s{i} e:p """line {i}\nand more""" ;\n e:q e:o{i} .\n' for i in range(4000))
+    for k in range(3):
+        (tmp_path / f"{k}.ttl").write_text(f"@prefix e: <http://e{k}/> .\n{body}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_quads(spark, [(f"{tmp_path}/{k}.ttl", f"{GRAPH}{k}") for k in range(3)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 3 * 8000 and {(r["s"][8], r["g"][-1]) for r in rows} == {(str(k), str(k)) for k in range(3)} or len({r["g"] for r in rows}) == 3
+    assert {r["o_lex"] for r in rows if r["p"] == "http://e1/p"} == {f"line {i}\nand more" for i in range(4000)}
+
+
 def test_rdf_xml():
     found = {tuple(map(n_triples, q[:3])) for q in parse_file(RDFXML.encode(), "a.rdf", "")}
     a = "<http://base/a>"
