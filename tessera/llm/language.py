@@ -4,27 +4,30 @@ Each language has a codeword; for each bit a binary classifier over hashed lette
 sides of the bit) gives a margin. Decoding takes the codeword with the least summed logistic loss. The score is the share of
 exp(-loss) of the chosen language; a text whose two best losses are near each other is flagged as ambiguous.
 
-Learning takes at most `sample` labelled rows of at most `longest` bytes each, drawn by a hash of doc_id: a bound on what the driver gets, whatever the input.
+Learning takes at most `sample` labelled rows of at most `longest` bytes each, shared out evenly among the languages (the `most_langs` most frequent) and drawn by a hash of
+doc_id and text: a bound on what the driver gets, whatever the input.
 
-Results for odd rows: a null text and a text without a letter give `und`, score 0 and ambiguous; with no labelled row every text is `und`; rows with the same or a null
-doc_id are judged one by one (a null doc_id is never held out nor learned from); other columns are ignored.
+Results for odd rows: a null text and a text without a letter (Unicode's category L) give `und`, score 0 and ambiguous; with no labelled row every text is `und`; of equal losses the
+language that comes first by name is taken, and the text is ambiguous; a very long text is judged whole; rows with the same or a null
+doc_id are judged one by one (a null doc_id is never held out nor learned from); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches
 
 UNKNOWN = "und"
 BITS = 15
-_letter = re.compile(r"[^\W\d_]").search
 
 
 def held_out(id_col: str = "doc_id"):
@@ -66,7 +69,7 @@ class Model:
         return self.scale * total / max(1, len(ids))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or not _letter(text):
+        if text is None or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         if len(self.langs) == 1:
             return self.langs[0], 1.0, False
@@ -91,13 +94,22 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(names, code, weights, 8.0)
 
 
-def learn(docs: DataFrame, sample: int = 2000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, sample: int = 2000, longest: int = 20_000, most_langs: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from rows that are not held out."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    n = rows.count()
-    # by a hash below a threshold: no sort, and about `sample` rows; limit() makes the bound hold
-    kept = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, 0.95 * sample / max(n, 1)) * (1 << 20)) + 1) & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    got = kept.select("text", "lang").limit(sample).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & (F.octet_length("text") <= longest))
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    if not sizes:
+        return fit([], [])
+    each = max(1, sample // len(sizes))
+    # by a hash below each language's threshold: a little more than its share, of which the least hashes are taken
+    limits = {r["lang"]: min(1.0, (1.2 * each + 10) / r["count"]) for r in sizes}
+    shared = F.broadcast(docs.sparkSession.createDataFrame(list(limits.items()), "lang string, share double"))
+    place = F.xxhash64("id", "text")
+    drawn = rows.join(shared, "lang").withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    drawn = drawn.dropDuplicates(["lang", "place"])  # repeated rows
+    best = drawn.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "text"))).where(F.col("rank") <= each)
+    got = best.orderBy("lang", "rank").select("text", "lang").limit(sample).collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -118,16 +130,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(rows, make, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", rows: int = 256) -> DataFrame:
     """The rows, all columns as they are, whose language is known: neither `und` nor ambiguous."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        predict = held.value.predict
-        return pd.Series([lang != UNKNOWN and not ambiguous for lang, _, ambiguous in map(predict, texts)], dtype=bool)
+    def known(text: str | None) -> bool:
+        lang, _, ambiguous = held.value.predict(text)
+        return lang != UNKNOWN and not ambiguous
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                texts = pc.cast(part.column(part.schema.get_field_index(text_col)), pa.string())
+                yield part.filter(pa.array(map(known, texts.to_pylist()), pa.bool_()))
 
-    return docs.where(known(F.col(text_col).cast("string")))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def language(docs: DataFrame, sample: int = 2000) -> DataFrame:
