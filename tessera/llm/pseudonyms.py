@@ -1,20 +1,23 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses by a keyed Feistel permutation.
 
 What a pattern finds is first validated (check digits, calendar, octets), then permuted within its own format under the key: a card number
-becomes another of its length with a right check digit, a date another date in the same notation, an e-mail address one of the same shape.
-Being permutations, equal values get equal pseudonyms in all documents, and no two values share one. What
-does not validate stays as it is.
+becomes another of its length with a right check digit, a date another date of the same notation and widths, an e-mail address one of the same shape.
+Being permutations, equal values get equal pseudonyms in all documents, and no two values of a format share one; in small formats a
+value may stand for itself. Telephone numbers are equal if their digits are, letters of addresses whatever their case. Letters of an address beyond a to z become such
+letters, the one case in which two values may share a pseudonym. The last label of a host stays. What does not validate stays as it is.
 
-Results for odd rows: a null text stays null with no finds; rows with the same or a null doc_id are treated one by one; other columns are
+Results for odd rows: a null text stays null with no finds; a very long text is searched whole; rows with the same or a null doc_id are treated one by one; other columns are
 ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from datetime import date, timedelta
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import ip_address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, map_batches
 
-KINDS = ("email", "card", "phone", "ip", "ssn", "iban", "date", "secret")
+KINDS = ("email", "card", "phone", "ip", "ip6", "ssn", "iban", "date", "secret")
 
 
 class Feistel:
@@ -65,6 +68,7 @@ def iban_ok(text: str) -> bool:
 FORMATS = {
     "email": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "ip": r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])",
+    "ip6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![\w(+-])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\w.+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "date": r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\w/-])",
@@ -73,9 +77,13 @@ FORMATS = {
     "secret": r"(?<=[\"'=: ])[0-9a-f]{32,128}(?![0-9A-Za-z])",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMATS.items()))
-#: All values hold one of these; values are sought only where one is near.
-HINT = re.compile("[@0-9]").search
-NEAR = 160
+#: All values hold one of these, and none is longer than LONGEST (an address of 64 characters, eight labels of 64 and a last one of 24; the others are far
+#: shorter), so looking LONGEST characters and a few more around each finds all that looking everywhere would.
+HINT = re.compile("[@0-9:]|[a-f]{32}").search
+LONGEST = 64 + 1 + 8 * 64 + 24
+NEAR = LONGEST + 8
+#: The countries' codes of one and of two digits; all others have three.
+CODES_1, CODES_2 = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 SECRET_NAME = re.compile(r"(?i)(?:token|secret|password|passwd|api[_-]?key|key)\W{0,6}$")
 FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
 
@@ -106,7 +114,7 @@ class Pseudonyms:
         digits = re.sub(r"\D", "", found)
         if not 9 <= len(digits) <= 15:
             return None
-        country = len(re.match(r"\+(\d*)", found)[1]) if found[0] == "+" and not found[1:].isdigit() else 1 if found[0] == "+" else 0
+        country = 0 if found[0] != "+" else 1 if digits[0] in CODES_1 else 2 if digits[:2] in CODES_2 else 3
         return self._fill(found, digits[:country] + self._number(digits[country:], "phone" + digits[:country]))
 
     def _ip(self, found: str) -> str | None:
@@ -157,40 +165,54 @@ class Pseudonyms:
             return None
         if not FIRST <= day <= LAST:
             return None
-        # day-first slashed dates stay recognisable as such: they are permuted among the days after the twelfth
-        if order == "dmy" and sep == "/":
-            days = _late_days()
-            new = days[self.feistel.permute(days.index(day), len(days), "late")]
-        else:
-            new = FIRST + timedelta(self.feistel.permute((day - FIRST).days, (LAST - FIRST).days + 1, "date"))
-        values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return sep.join(values[c] for c in order)
+        # permuted among the dates that have these widths; day-first dates with strokes stay recognisable as such, after the twelfth
+        days = _days(len(parts[order.index("m")]), len(parts[order.index("d")]), order == "dmy" and sep == "/")
+        at = bisect_left(days, day.toordinal())
+        if at == len(days) or days[at] != day.toordinal():  # a width that the date does not have
+            return None
+        new = date.fromordinal(days[self.feistel.permute(at, len(days), f"date{order}{sep}")])
+        widths = dict(zip(order, map(len, parts)))
+        values = {"y": new.year, "m": new.month, "d": new.day}
+        return sep.join(f"{values[c]:0{widths[c]}d}" for c in order)
 
     def _email(self, found: str) -> str | None:
         local, _, host = found.rpartition("@")
         labels = host.split(".")
         if ".." in local or local[0] == "." or local[-1] == ".":
             return None
-        return f"{self._letters(local, 'local@' + host.lower())}@{'.'.join([*labels])}"
+        return f"{self._letters(local, 'local')}@{'.'.join([*(self._letters(x, 'label') for x in labels[:-1]), labels[-1]])}"
+
+    def _ip6(self, found: str) -> str | None:
+        try:
+            ip_address(found)
+        except ValueError:
+            return None
+        digits = found.replace(":", "").lower()
+        new = f"{self.feistel.permute(int(digits, 16), 16 ** len(digits), f'ip6{[len(x) for x in found.split(chr(58))]}'):0{len(digits)}x}"
+        it = iter(new.upper() if found != found.lower() else new)
+        return "".join(c if c == ":" else next(it) for c in found)
 
     def _secret(self, found: str) -> str | None:
         return f"{self.feistel.permute(int(found, 16), 16 ** len(found), 'secret'):0{len(found)}x}"
 
     def _letters(self, s: str, tweak: str) -> str:
-        """Letters stay letters of their case, digits stay digits, all else stays."""
-        kinds = [("0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c) for c in s]
+        """Letters stay letters, each place of its case; digits stay digits, all else stays."""
+        small, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+        plain = [c.lower() if "A" <= c <= "Z" else c for c in s]
+        kinds = [digit if c in digit else small if c.isalpha() else c for c in plain]
+        other = "".join(c for c in plain if c.isalpha() and c not in small)
         x, size = 0, 1
-        for c, kind in zip(s, kinds):
-            x, size = x * len(kind) + kind.index(c), size * len(kind)
-        y, out = self.feistel.permute(x, size, tweak), []
-        for kind in reversed(kinds):
+        for c, kind in zip(plain, kinds):
+            x, size = x * len(kind) + (kind.index(c) if c in kind else ord(c) % len(kind)), size * len(kind)
+        y, out = self.feistel.permute(x, size, f"{tweak}{''.join(k[0] for k in kinds)}{other}"), []
+        for c, kind in zip(reversed(s), reversed(kinds)):
             y, d = divmod(y, len(kind))
-            out.append(kind[d])
+            out.append(kind[d].upper() if c.isupper() else kind[d])
         return "".join(reversed(out))
 
     @staticmethod
     def _candidates(text: str):
-        """The patterns' matches in the stretches of text within NEAR characters of a digit or an at sign."""
+        """The patterns' matches, sought in the stretches of text within NEAR characters of a hint."""
         hint, done = HINT(text), 0
         while hint:
             begin = max(done, hint.start() - NEAR)
@@ -216,13 +238,18 @@ class Pseudonyms:
         return ("".join(out) + text[at:] if out else text), found
 
 
-@lru_cache(maxsize=1)
-def _late_days() -> list[date]:
-    return [d for i in range((LAST - FIRST).days + 1) if (d := FIRST + timedelta(i)).day > 12]
+@lru_cache(maxsize=16)
+def _days(month: int, day: int, late: bool) -> list[int]:
+    """The days, as ordinals, that can be written with so many digits for month and day: all have two, those below ten may have one."""
+    fits = lambda n, width: width == 2 or n < 10
+    every = (FIRST + timedelta(i) for i in range((LAST - FIRST).days + 1))
+    return [d.toordinal() for d in every if fits(d.month, month) and fits(d.day, day) and not (late and d.day <= 12)]
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text (with pseudonyms), n_found and the number of each kind for each row."""
+    """doc_id, text (with pseudonyms), n_found and the number of each kind for each row. Who has the key can invert the pseudonyms."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
 
     def make():
         names = Pseudonyms(key)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import documents
 
-#: The key of the pseudonyms: a deployment gives its own.
-KEY = os.environ.get("TESSERA_PSEUDONYM_KEY", "replace this key")
+#: The key of the pseudonyms. Where none is given each session has a random one, so nobody can invert its result and sessions are not linked.
+KEY = os.environ.get("TESSERA_PSEUDONYM_KEY") or secrets.token_hex(32)
 
 
 def tokenizer(name: str) -> str:
