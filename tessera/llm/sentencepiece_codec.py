@@ -8,13 +8,14 @@ window as wide as the longest piece; whenever the backpointer paths of all nodes
 it are committed and forgotten. Where no piece can span a boundary (before a word's space mark, around characters that the
 vocabulary lacks), the paths always meet, so the spans between are searched one by one and a memo of bounded size keeps their ids.
 
-Results for odd rows: a null text gives null ids, null n_pieces and null round_trip; an empty text gives no ids; a character that the vocabulary lacks
+Results for odd rows: a null text gives null ids, null n_pieces and null round_trip; an empty text gives no ids; a very long text is coded whole, its words one by one; a character that the vocabulary lacks
 gives its UTF-8 bytes as byte pieces (or the unknown id where the model has none); rows with the same or a null doc_id are coded one by one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +29,46 @@ from tessera.llm.common import Memo, map_batches
 SPACE = "▁"
 
 
+def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a message in the wire format of protocol buffers: number and value."""
+    at = 0
+
+    def whole() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            out |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return out
+
+    while at < len(data):
+        number, kind = divmod(whole(), 8)
+        if kind == 0:
+            yield number, whole()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or whole()
+        yield number, data[at : at + size]
+        at += size
+
+
+#: Numbers of fields and of kinds of model in the format of model files.
+TRAINER, NORMALIZER, MODEL_TYPE, SUFFIX, CHAR_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE = 2, 3, 3, 24, 2, 3, 4, 5
+UNIGRAM, BPE = 1, 2
+
+
+def model_type(data: bytes) -> int:
+    """The kind of a model; refuses models whose treatment of texts differs from what is done here: no normalisation, a space before the text, no spaces removed."""
+    parts = {n: dict(fields(v)) for n, v in fields(data) if n in (TRAINER, NORMALIZER)}
+    trainer, normal = parts.get(TRAINER, {}), parts.get(NORMALIZER, {})
+    kind = trainer.get(MODEL_TYPE, UNIGRAM)
+    if kind not in (UNIGRAM, BPE) or trainer.get(SUFFIX, 0) or normal.get(CHAR_MAP) or not normal.get(DUMMY_PREFIX, 1) or normal.get(EXTRA_SPACES, 1) or not normal.get(ESCAPE, 1):
+        raise ValueError("the model's kind, normalisation or treatment of spaces is not supported")
+    return kind
+
+
 class PieceModel:
     """Pieces, scores and kinds of a model file, and both directions of coding."""
 
@@ -52,13 +93,12 @@ class PieceModel:
                 self.surface[i] = piece.replace(SPACE, " ").encode()
         self.surface[self.unknown] = " ⁇ ".encode()
         self.longest = max(map(len, self.pieces), default=1)
-        #: Byte-pair scores are whole falling ranks; a unigram model has log probabilities.
-        self.pair_model = all(s == int(s) for s in self.score.values())
+        with open(path, "rb") as f:
+            self.pair_model = model_type(f.read()) == BPE
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece holds a space mark after a letter: spans can't be cut at spaces")
         known = "".join(re.escape(c) for c in sorted({c for p in self.pieces for c in p} - {SPACE, " "}))
         self.spans = re.compile(f"[ {SPACE}]*[{known}]+|[ {SPACE}]+|.", re.S).findall
-        
         #: For byte pairs: what stands at a piece's left and right edge while it is merged, each with the score at which it is merged further.
         self.edges: dict[str, tuple[list, list]] = {}
         self.simple = set()

@@ -4,7 +4,7 @@ The initial symbols of a pre-token are its UTF-8 bytes. A heap holds the adjacen
 popped again and again, and each pair that is still there merges. The count is the number of initial symbols less the number of
 merges; no identifiers are made. Pre-tokens recur, so a memo of bounded size keeps their counts.
 
-Results for odd rows: a null text counts as empty (0 bytes, 0 tokens, not over the limit); rows with the same or a null doc_id are counted one by
+Results for odd rows: a null text counts as empty (0 bytes, 0 tokens, not over the limit); a very long text is counted whole; rows with the same or a null doc_id are counted one by
 one; other columns are ignored, whatever their names; an empty table gives an empty table.
 """
 

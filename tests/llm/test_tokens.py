@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.queries import tokenizer
-from tessera.llm.sentencepiece_codec import PieceModel, decode, encode, encode_checked
+from tessera.llm.sentencepiece_codec import PieceModel, decode, encode, encode_checked, model_type
 from tessera.llm.token_counts import MergeCounter, token_counts
 
 POOL = "ab cdé\n\t \r\x0b\x0c\x1c\x85\xa0　​漢字ñ½٣'sldre\U0001f600<|endoftext|>▁ the of  thing\x00\x7f́"
@@ -36,6 +36,37 @@ def test_ids_match_the_library(texts):
         assert own.decode(ids) == lib.decode(ids)
 
 
+def test_unigram_spans():
+    """The best summed score, against all ways to cut a span; of equal sums the longest last piece."""
+    rng = random.Random(6)
+    own = PieceModel(tokenizer("piece_bpe_32k.model"))
+    own.pair_model, own.pieces, own.score = False, {}, {}
+    for k, p in enumerate(["a", "b", "ab", "ba", "aab", "bb", "abab", "c"]):
+        own.pieces[p], own.score[p] = k, -rng.random() * len(p) - 0.5
+    own.usable, own.longest, own.least = frozenset(own.pieces), 4, min(own.score.values())
+
+    def best(t):
+        return max(((own.score[t[:n]] + s, [t[:n], *rest]) for n in range(1, min(4, len(t)) + 1) if t[:n] in own.score for s, rest in [best(t[n:])]), key=lambda x: x[0]) if t else (0.0, [])
+
+    for _ in range(200):
+        t = "".join(rng.choices("abc", k=rng.randrange(1, 14)))
+        got = [list(own.pieces)[i] for i in own.search(t)]
+        assert "".join(got) == t and sum(own.score[p] for p in got) == pytest.approx(best(t)[0])
+    long = "".join(rng.choices("abc", k=500))  # far over the window
+    whole, parts = own.search(long), []
+    own.longest = 500
+    assert [own.score[list(own.pieces)[i]] for i in whole] and sum(own.score[list(own.pieces)[i]] for i in whole) == pytest.approx(sum(own.score[list(own.pieces)[i]] for i in own.search(long)))
+
+
+def test_other_models_are_refused():
+    spec = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    plain = spec(2, b"\x18\x02") + spec(3, b"\x18\x01\x20\x00")
+    assert model_type(plain) == 2 and model_type(spec(3, b"\x20\x00")) == 1
+    for odd in (spec(2, b"\x18\x03") + spec(3, b"\x20\x00"), spec(3, b"\x20\x01"), spec(3, b"\x12\x01x\x20\x00"), spec(3, b"\x18\x00\x20\x00")):
+        with pytest.raises(ValueError):
+            model_type(odd)
+
+
 def test_window_commits():
     """Spans far longer than the window give what the library gives, in pieces committed on the way."""
     import sentencepiece
