@@ -5,7 +5,7 @@ others by weight. Within a source, rows are put in a random order by a hash of d
 sorted, and a row's place in the running sum of sizes is the sum of the ranges before plus that of the rows before in its range. Whole
 epochs are taken as often as the budget holds them, and the last is cut where the budget ends, inside a document if need be.
 
-Results for odd rows: a null source is a source, the last one; a null text has size 0 and gives 0; a null doc_id is hashed as the text "null"; rows
+Results for odd rows: a null source is a source, the last one; a null text has size 0 and gives 0; a null doc_id is hashed by its text; a very long text is one row like any other; rows
 that repeat are counted each; rows of equal hash go by doc_id and size; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source, source_size, target, taken of each row."""
     spark = docs.sparkSession
-    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":" + seed)).cast("binary"))
+    order = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), F.md5(text_or_empty(text_col).cast("binary")))), F.lit(":" + seed)).cast("binary"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"), order.alias("place")
     )

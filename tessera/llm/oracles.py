@@ -16,7 +16,7 @@ WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PR
 MIXING = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, 'null') || ':mix') AS place
+         md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) || ':mix') AS place
   FROM documents
 ), sources AS (
   SELECT source, sum(size)::DOUBLE AS source_size FROM rows GROUP BY source

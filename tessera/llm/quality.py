@@ -5,7 +5,7 @@ patterns; their counts over all rows are all that estimation needs. It starts fr
 rule's accuracy on good and on bad texts (abstentions count as missing) and each pattern's probability of being good. A text is kept if it does not fail the base rules and
 its probability is at least `least`.
 
-Results for odd rows: a null or empty text has no words, fails the base and is not kept; rows with the same or a null doc_id are judged one by one; other
+Results for odd rows: a null or empty text has no words, fails the base and is not kept; a probability equal to `least` keeps; a very long text is one row like any other; rows with the same or a null doc_id are judged one by one; other
 columns are ignored; an empty table gives an empty table.
 """
 
