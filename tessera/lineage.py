@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _place(spark: SparkSession, path: str):
@@ -39,3 +40,10 @@ def settled(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled_with_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """settled(), and the number of rows, counted as they are written."""
+    seen = Observation()
+    out = settled(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]

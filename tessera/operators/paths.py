@@ -7,14 +7,19 @@ shared files, so plans do not grow.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.lineage import settled
+from tessera.lineage import settled, settled_with_count
 from tessera.plans.relation import Rel, join, semi, union
 from tessera.terms import Iri, Var
 from tessera.values import VT, constant, same_term, to
 
 S, O = "__s", "__o"
+#: So many hops from a bound end are one job.
+HOPS = 3
 
 
 class PathMixin:
@@ -82,16 +87,17 @@ class PathMixin:
             newest = step_df.where(F.lit(False) if same is None else same)
         known = newest
         if kind != "opt":
-            known = settled(newest)
-            newest = known
-            free = seeds is None and isinstance(s, Var)
-            while True:
+            known, n = settled_with_count(newest)
+            newest, free = known, seeds is None and isinstance(s, Var)
+            while n:
                 hop = (known if free else step_df).select(F.col(S).alias("__m"), F.col(O).alias("__n"))
-                found = newest.join(hop, newest[O] == hop["__m"]).select(S, F.col("__n").alias(O)).distinct()
-                found = settled(found.join(known, [S, O], "left_anti"))
-                if found.isEmpty():
-                    break
-                known, newest = known.unionAll(found), found
+                found, parts = newest, []
+                for _ in range(1 if free else HOPS):
+                    found = found.join(hop, F.col(O) == F.col("__m")).select(S, F.col("__n").alias(O)).distinct()
+                    parts.append(found)
+                found = reduce(DataFrame.unionAll, parts).distinct() if len(parts) > 1 else found
+                newest, n = settled_with_count(found.join(known, [S, O], "left_anti"))
+                known = known.unionAll(newest)
         pairs = Rel(known, {S: vt, O: vt}, step.size)
         if kind in ("star", "opt"):
             pairs = self._with_self(pairs, s, g, seeds)

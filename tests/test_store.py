@@ -9,7 +9,7 @@ import pytest
 from tessera.sources.loader import LoadError, load_quads, read_quads
 from tessera.sources.rdf import RdfError, Turtle, parse_file, rdf_xml, syntax_of
 from tessera.store import QuadStore, ReadOnlyError
-from tessera.terms import BOOLEAN, GYEAR, RDF_TYPE, XSD, Iri, Lit, n_triples
+from tessera.terms import BOOLEAN, GYEAR, LANG_STRING, RDF_TYPE, XSD, BNode, Iri, Lit, n_triples, parse_term
 
 RDFS_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 BAG, ALT = "http://example.org/Bag", "http://example.org/Alt"
@@ -294,6 +294,30 @@ def test_syntaxes_and_codecs(spark, tmp_path):
     assert len({r["o_lex"] for r in rows if r["p"] == "http://e/p" and r["o_kind"] == "bnode"}) == 4  # labels are of their file
 
 
+def test_intermediate_folders(spark):
+    """Under spark.checkpoint.dir; a cluster without one is refused."""
+    from types import SimpleNamespace
+
+    from tessera.lineage import discard, settled_with_count, shared_folder
+
+    assert shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    df, n = settled_with_count(spark.range(7))
+    assert n == 7 == df.count()
+    folder = df.inputFiles()[0].rsplit("/", 1)[0]
+    discard(spark, folder)
+    assert not [x for x in spark.sparkContext._jvm.java.io.File(folder.replace("file://", "")).list() or []]
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_terms_parse_back():
+    for term in (Iri("http://e/a"), Lit("x"), Lit('a "b"\n\\c'), Lit("5", XSD + "int"), Lit("hi", LANG_STRING, "en"), BNode("b1")):
+        assert parse_term(n_triples(term)) == term
+    with pytest.raises(ValueError):
+        parse_term("not a term")
+
+
 def test_staged_restart(spark, tmp_path):
     (tmp_path / "a.nt").write_text(TINY)
     files, out = [(str(tmp_path / "a.nt"), GRAPH)], f"file://{tmp_path}/store"
