@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles. Equal sets form one class, found by a fingerprint of the set; all else is on classes. Of `bands * rows` minima each
 band of `rows` makes a bucket key; of every minimum one low bit is kept, so a signature packs into a few 64-bit words. Pairs of
 candidates come from shared buckets; the share of equal bits, corrected for those that agree by chance, estimates their
-similarity, and pairs well below the threshold (by `slack`, over three standard errors) go. The rest are confirmed on the full sets. A pair at the
+similarity, and pairs well below the threshold (by `slack`, over five standard errors) go. The rest are confirmed on the full sets. A pair at the
 threshold shares no bucket with a probability of 3e-7 (defaults).
 
 No bucket is expanded into all its pairs. First every member is paired with its bucket's least and greatest member, and the two
