@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import driver_tables
 from tessera.store import QuadStore
 
 PREFIXES = """PREFIX v: <http://ex.org/v#> PREFIX g: <http://ex.org/g/> PREFIX n: <http://ex.org/nation/> PREFIX c: <http://ex.org/customer/>
@@ -15,6 +16,18 @@ PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> PREFIX xsd: <http://ww
 X = "'http://ex.org/"
 TYPE = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
 
+
+
+def _everything() -> str:
+    """The number of triples of each predicate of all tables."""
+    held = {"o_year": "o_orderdate", "toxic": "toxic", "labels": "doc_id", "item_text": "text", "conv": "conv_id", "said": "text", "next": "turn"}
+    parts = [f"SELECT {TYPE} AS p, count(*) AS c FROM {t.name}" for t in driver_tables()]
+    for t in driver_tables():
+        parts += [f"SELECT {X}v#{c}', count({c}) FROM {t.name}" + (f" WHERE lang IN {t.langs[c][1]}" if c in t.langs else "") for c in t.columns]
+        parts += [f"SELECT {X}v#{c}', count({held[c]}) FROM {t.name}" for c in t.extra]
+    return f"SELECT p, sum(c)::BIGINT AS c FROM ({' UNION ALL '.join(parts)}) GROUP BY p"
+
+
 #: name: (SPARQL, DuckDB)
 QUERIES: dict[str, tuple[str, str]] = {
     # -- scans
@@ -27,6 +40,7 @@ QUERIES: dict[str, tuple[str, str]] = {
         "SELECT ?p (COUNT(*) AS ?c) FROM g:nation FROM g:region WHERE { ?s ?p ?o } GROUP BY ?p",
         f"SELECT * FROM (VALUES ({TYPE}, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)), ({X}v#n_nationkey', (SELECT count(n_nationkey) FROM nation)), ({X}v#n_name', (SELECT count(n_name) FROM nation)), ({X}v#n_regionkey', (SELECT count(n_regionkey) FROM nation)), ({X}v#r_regionkey', (SELECT count(r_regionkey) FROM region)), ({X}v#r_name', (SELECT count(r_name) FROM region))) t(p, c)",
     ),
+    "scan_everything": ("SELECT ?p (COUNT(*) AS ?c) WHERE { ?s ?p ?o } GROUP BY ?p", _everything()),
     "seek_s": ("SELECT ?p ?o WHERE { n:3 ?p ?o }", f"SELECT {TYPE} AS p, {X}v#Nation' AS o UNION ALL SELECT unnest([{X}v#n_nationkey', {X}v#n_name', {X}v#n_regionkey']), unnest([n_nationkey::VARCHAR, n_name, {X}region/' || n_regionkey]) FROM nation WHERE n_nationkey = 3"),
     "seek_o": ("SELECT ?s WHERE { ?s v:c_nationkey n:7 }", f"SELECT {X}customer/' || c_custkey AS s FROM customer WHERE c_nationkey = 7"),
     "seek_so": ("SELECT ?n WHERE { c:5 v:c_nationkey ?k ; v:c_name ?n . ?k v:n_regionkey ?r }", "SELECT c_name AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey = 5"),
