@@ -57,21 +57,37 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 class Memo(dict):
-    """Remembers fn by key; when it holds `limit` entries it starts anew, so its memory is bounded."""
+    """Remembers fn by key. It holds two generations of half of `limit` entries each: what is asked for again moves to the newer, the rest goes with the older. So its
+    memory is bounded, and rare keys do not drive out frequent ones."""
 
     def __init__(self, fn: Callable, limit: int = 60_000):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.half, self.older = fn, limit // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(key) <= 64:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 
 
+#: The setting of Arrow batches' size, and Spark's default, which takes 64 MB for each task on either side, and as much again for what is made of it.
+BATCH_BYTES, DEFAULT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows, in a session whose Arrow batches have 16 MB at most unless it has a size of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES) == DEFAULT_BYTES:
+        conf.set(BATCH_BYTES, "16m")
+    return df
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, object]]], schema: str, rows: int = 512) -> DataFrame:
     """Calls what make() returns (made once per task) with the columns of up to `rows` rows as lists; it gives the columns of its result."""
     names = [x.strip().split()[0] for x in _fields(schema)]
@@ -83,8 +99,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
                 part = batch.slice(at, rows)
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (out[n] for n in names)], names)
+            size = batch.nbytes
+            batch = part = None
+            release(size)
+
+    return small_batches(df).mapInArrow(run, schema)
+
 
-    return df.mapInArrow(run, schema)
+def release(size: int) -> None:
+    """After a batch of some size: gives back to the system what Arrow holds no more, so that idle workers are small."""
+    if size > 1 << 20:
+        pa.default_memory_pool().release_unused()
 
 
 def _fields(schema: str) -> Iterable[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches
+from tessera.llm.common import map_batches, release, small_batches
 
 UNKNOWN = "und"
 BITS = 15
@@ -144,8 +144,11 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", rows: int =
                 part = batch.slice(at, rows)
                 texts = pc.cast(part.column(part.schema.get_field_index(text_col)), pa.string())
                 yield part.filter(pa.array(map(known, texts.to_pylist()), pa.bool_()))
+            size = batch.nbytes
+            batch = part = texts = None
+            release(size)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def language(docs: DataFrame, sample: int = 2000) -> DataFrame:

@@ -72,7 +72,7 @@ def model_type(data: bytes) -> int:
 class PieceModel:
     """Pieces, scores and kinds of a model file, and both directions of coding."""
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 300_000):
         import sentencepiece
 
         lib = sentencepiece.SentencePieceProcessor(model_file=path)
