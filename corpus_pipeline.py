@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of documents.
 
-Odd rows: texts that are null, empty or without a letter go in the first stage; a row that repeats another goes in the second;
+Odd rows: texts that are null, empty or without a letter go in the first stage; a row that repeats another goes in the second, rows of one doc_id with several
+texts are documents of their own; very long texts pass whole;
 the mixing stage gives a row for each time a document is taken, the last perhaps with only its first words; extra columns
 stay until the last stage, which returns doc_id, ids, n_pieces and round_trip. An empty table passes through all stages.
 """
@@ -16,7 +17,7 @@ from tessera.llm.common import SPACES, WORD, documents, text_or_empty, written
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.language import accepted, learn
 from tessera.llm.mixing import mixed
-from tessera.llm.near_dedup import near_groups
+from tessera.llm.near_dedup import near_kept
 from tessera.llm.queries import tokenizer
 from tessera.llm.sentencepiece_codec import encode_checked
 
@@ -47,9 +48,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    (ident,) = _free(docs, "_id")
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias(ident)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)), "left_semi")
+    ident, mark = _free(docs, "_id", "_mark")
+    kept = near_kept(docs).select(F.col("doc_id").alias(ident), F.col("mark").alias(mark))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.xxhash64(F.col("text").cast("string")) == F.col(mark)), "left_semi")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
