@@ -3,7 +3,8 @@
 A lattice has a node at each character boundary and an edge for each piece. At every node one backpointer survives. In a
 unigram model that is the edge of the best summed score; in a byte-pair model (the public file at hand) it is the edge whose
 piece may follow the piece that survives at its start, which byte-pair merging of the two alone tells: a sequence is
-what merging gives exactly if all its neighbours are so compatible, and only one piece per node is. The search keeps a
+what merging gives exactly if all its neighbours are so compatible, and only one piece per node is. The pieces that end at a
+node come from an automaton over the vocabulary, and memos keep which pairs are compatible and where the first characters of spans lead. The search keeps a
 window as wide as the longest piece; whenever the backpointer paths of all nodes in the window meet at one boundary, the ids before
 it are committed and forgotten. Where no piece can span a boundary (before a word's space mark, around characters that the
 vocabulary lacks), the paths always meet, so the spans between are searched one by one and a memo of bounded size keeps their ids.
@@ -15,9 +16,10 @@ gives its UTF-8 bytes as byte pieces (or the unknown id where the model has none
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +71,46 @@ def model_type(data: bytes) -> int:
     return kind
 
 
+class Node(dict):
+    """A state of the automaton that reads a text and knows the pieces ending at each place: the longest ending of the text that some piece begins with. As a dictionary it
+    gives the state after a character; `out` has the pieces that end here, the longest first, with their lengths. What leads back to shorter endings is learned when met, up to `room` times
+    (else found each time anew), so the memory is bounded."""
+
+    __slots__ = ("back", "out", "room")
+
+    def __init__(self, back: Node | None, out: tuple, room: list[int]):
+        self.back, self.out, self.room = back, out, room
+
+    def __missing__(self, c: str) -> Node:
+        if self.back is None:
+            return self
+        to = self.back[c]
+        if self.room[0] > 0:
+            self.room[0] -= 1
+            self[c] = to
+        return to
+
+
+def automaton(pieces: Iterable[str], room: int = 200_000) -> Node:
+    """The first state for these pieces."""
+    root = Node(None, (), [room])
+    pieces = frozenset(pieces)
+    states = {"": root}
+    starts = sorted({p[:n] for p in pieces for n in range(1, len(p) + 1)}, key=len)
+    for start in starts:  # the shorter ones first: what a state goes back to is there before it
+        back = next(states[start[k:]] for k in range(1, len(start) + 1) if start[k:] in states)
+        states[start] = Node(back, ((start, len(start)), *back.out) if start in pieces else back.out, root.room)
+    for start in starts:
+        dict.__setitem__(states[start[:-1]], start[-1], states[start])
+    return root
+
+
 class PieceModel:
     """Pieces, scores and kinds of a model file, and both directions of coding."""
 
+    #: Fixed value: characters at the begin of a span whose survivors are kept in a memo.
+    HEAD = 6
+
     def __init__(self, path: str, memo: int = 300_000):
         import sentencepiece
 
@@ -97,7 +136,8 @@ class PieceModel:
             self.pair_model = model_type(f.read()) == BPE
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece holds a space mark after a letter: spans can't be cut at spaces")
-        known = "".join(re.escape(c) for c in sorted({c for p in self.pieces for c in p} - {SPACE, " "}))
+        self.known = frozenset(c for p in self.pieces for c in p) - {SPACE, " "}
+        known = "".join(re.escape(c) for c in sorted(self.known))
         self.spans = re.compile(f"[ {SPACE}]*[{known}]+|[ {SPACE}]+|.", re.S).findall
         #: For byte pairs: what stands at a piece's left and right edge while it is merged, each with the score at which it is merged further.
         self.edges: dict[str, tuple[list, list]] = {}
@@ -106,8 +146,10 @@ class PieceModel:
             for p in self.pieces:
                 self._trace(p)
         self.usable = frozenset(self.edges if self.pair_model else self.pieces)
+        self.root = automaton(self.usable) if self.pair_model else None
         self.least = min(self.score.values(), default=0.0)
-        self.fits = Memo(self._fits, memo // 2)
+        self.fits = Memo(self._fits, 2 * memo)
+        self.heads = Memo(self._head, memo // 4)
         self.ids = Memo(self._chunk, memo)
         self.span_ids = Memo(self._span, memo // 4)
         # decoding gathers bytes: each piece's place in one table and its length
@@ -163,47 +205,68 @@ class PieceModel:
     def _fits(self, pair: tuple[str, str]) -> bool:
         """Whether merging the characters of two pieces gives the two again: nothing may merge across, at its score, before both edges have gone on."""
         a, b = pair
+        if a not in self.edges:  # the begin, or a character that no piece holds
+            return True
         if not (a in self.simple and b in self.simple):
             return self._merged(a + b) == [a, b]
-        get = self.score.get
-        for r, after_r in self.edges[a][1]:
-            for x, after_x in self.edges[b][0]:
-                s = get(r + x)
-                if s is not None and s > after_r and s >= after_x:
-                    return False
-        return True
+        get, edge, other = self.score.get, iter(self.edges[a][1]), iter(self.edges[b][0])
+        r, after_r = next(edge)
+        x, after_x = next(other)
+        while True:  # the edges that stand side by side, in the order of merges
+            s = get(r + x)
+            if s is not None and s > after_r and s >= after_x:
+                return False
+            if after_r == after_x == -np.inf:
+                return True
+            if after_r >= after_x:
+                r, after_r = next(edge)
+            else:
+                x, after_x = next(other)
 
     def search(self, span: str) -> list[int]:
         """The ids of one span by the streaming search."""
-        if self.pair_model and span in self.usable:
-            return [self.pieces[span]]
-        extend = self._extend_pairs if self.pair_model else self._extend_scores
         out: list[int] = []
-        last, best = [""], [0.0]  # by boundary of the window: the piece that survives there, and its path's score
+        # by boundary of the window: the piece that survives there, and its path's score (byte pairs: the automaton's state at the last)
+        if self.pair_model:
+            if span in self.usable:
+                return [self.pieces[span]]
+            last, state = self.heads[span[: self.HEAD]]
+            last = last.copy()
+        else:
+            last, best = [""], [0.0]
         begin, n, step = 0, len(span), 2 * self.longest  # what is before begin is committed
         for to in range(step, n + step, step):
             part = span[begin : min(to, n)]
-            extend(part, last, best)
+            if self.pair_model:
+                state = self._extend_pairs(part[len(last) - 1 :], last, state)
+            else:
+                self._extend_scores(part, last, best)
             if to < n and (met := self._met(last)):
                 self._emit(last, met, out)
-                del last[:met], best[:met]
+                del last[:met]
+                if not self.pair_model:
+                    del best[:met]
                 begin += met
         self._emit(last, len(last) - 1, out)
         return out
 
-    def _extend_pairs(self, part: str, last: list[str], best: list[float]) -> None:
-        """Finds the survivors at the boundaries of part that have none; byte pairs."""
-        usable, fits, longest = self.usable, self.fits, self.longest
-        for end in range(len(last), len(part) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = part[start:end]
-                if piece in usable:
-                    before = last[start]
-                    if before not in usable or fits[before, piece]:
-                        last.append(piece)
-                        break
+    def _extend_pairs(self, more: str, last: list[str], state: Node) -> Node:
+        """Finds the survivors at the boundaries of more, the text after the last boundary; byte pairs. All pieces found begin within the window, as it is as wide as the longest."""
+        fits = self.fits
+        for c in more:
+            state = state[c]
+            for piece, size in state.out:
+                if fits[last[-size], piece]:
+                    last.append(piece)
+                    break
             else:  # a character that no piece holds
-                last.append(part[end - 1])
+                last.append(c)
+        return state
+
+    def _head(self, begin: str) -> tuple[list[str], Node]:
+        """The survivors and the state after the first characters of a span, which many spans share."""
+        last = [""]
+        return last, self._extend_pairs(begin, last, self.root)
 
     def _extend_scores(self, part: str, last: list[str], best: list[float]) -> None:
         """The same for a unigram model: the best sum survives, of equal sums that with the longest piece."""
@@ -226,24 +289,28 @@ class PieceModel:
         return heads.pop()
 
     def _emit(self, last: list[str], end: int, out: list[int]) -> None:
-        path = []
+        path, get = [], self.pieces.get
         while end > 0:
-            path.append(last[end])
-            end -= len(last[end])
+            piece = last[end]
+            path.append(piece)
+            end -= len(piece)
         path.reverse()
         for piece in path:
-            if piece in self.usable:
-                out.append(self.pieces[piece])
+            if (known := get(piece)) is not None:
+                out.append(known)
             elif self.byte_id:
                 out += [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
 
     def _span(self, span: str) -> bytes:
-        return np.asarray(self.search(span.replace(" ", SPACE)), "<i4").tobytes()
+        ids = self.search(span.replace(" ", SPACE))
+        return pack(f"<{len(ids)}i", *ids)
 
     def _chunk(self, word: str) -> bytes:
         """The ids of a word after a space, or after a line break where it begins with one."""
+        if self.known.issuperset(word) and word[0] != "\n":  # one span
+            return self._span(" " + word)
         return b"".join(map(self._span, self.spans(word if word[0] == "\n" else " " + word)))
 
     def encode(self, text: str) -> bytes:

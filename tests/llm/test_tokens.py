@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.queries import tokenizer
-from tessera.llm.sentencepiece_codec import PieceModel, decode, encode, encode_checked, model_type
+from tessera.llm.sentencepiece_codec import PieceModel, automaton, decode, encode, encode_checked, model_type
 from tessera.llm.token_counts import MergeCounter, token_counts
 
 POOL = "ab cdé\n\t \r\x0b\x0c\x1c\x85\xa0　​漢字ñ½٣'sldre\U0001f600<|endoftext|>▁ the of  thing\x00\x7f́"
@@ -82,6 +82,74 @@ def test_window_commits():
     assert max(kept) < 8 * own.longest
 
 
+class Asked(dict):
+    """Counts how often it is asked what `inner` holds."""
+
+    def __init__(self, inner):
+        super().__init__()
+        self.inner, self.n = inner, 0
+
+    def __contains__(self, key):
+        self.n += 1
+        return key in self.inner
+
+    def __getitem__(self, key):
+        self.n += 1
+        return self.inner[key]
+
+
+def syllables(n):
+    """Made-up words of several languages, most of them found once."""
+    rng = random.Random(8)
+    parts = "the ing ble tion sh oua eux é qu ñ ción der sch ü ß or. ly, x9 Th".split()
+    return ["".join(rng.choices(parts, k=rng.randrange(1, 9))) for _ in range(n)]
+
+
+def test_work_of_a_search():
+    """Only pieces that end at a boundary are tried, not all that lies in the window: a few questions a character, in words and in long spans."""
+    own = PieceModel(tokenizer("piece_bpe_32k.model"))
+    for text in (" ".join(syllables(3000)), "".join(syllables(800))):
+        own.fits, own.usable = Asked(own.fits), Asked(own.usable)
+        own.encode(text)
+        assert 0 < own.fits.n + own.usable.n < 3 * len(text)
+        own.fits, own.usable = own.fits.inner, own.usable.inner
+
+
+def test_pairs_are_found_out_once():
+    """The memo of pairs has room for what many words ask for."""
+    own = PieceModel(tokenizer("piece_bpe_32k.model"), memo=8000)
+    found, fn = [], own.fits.fn
+    own.fits.fn = lambda pair: (found.append(pair), fn(pair))[1]
+    words = syllables(6000)
+    own.encode(" ".join(words))
+    assert 2000 < len(set(found)) < 8000 and len(found) == len(set(found))
+    own.encode(" ".join(words[::-1]))
+    assert len(found) == len(set(found))
+
+
+@pytest.mark.parametrize("room", [0, 3, 10_000])
+def test_automaton(room):
+    """At each place the pieces that end there, the longest first, however little is learned."""
+    rng = random.Random(9)
+    pieces = {"".join(rng.choices("abc", k=rng.randrange(1, 6))) for _ in range(60)}
+    state, read = automaton(pieces, room), ""
+    for c in rng.choices("abcd", k=2000):
+        state, read = state[c], read + c
+        assert [p for p, _ in state.out] == [read[-n:] for n in range(min(5, len(read)), 0, -1) if read[-n:] in pieces]
+        assert all(len(p) == n for p, n in state.out)
+
+
+@pytest.mark.parametrize("memo", [8, 300_000])
+def test_made_up_words_match_the_library(memo):
+    """Spans shorter and longer than the head that a memo keeps and than the window."""
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model")), PieceModel(tokenizer("piece_bpe_32k.model"), memo=memo)
+    words = syllables(3000)
+    for t in (*words[:1000], " ".join(words), "\n".join(words), "  ".join(words[:500]), "".join(words[:500])):
+        assert np.frombuffer(own.encode(t), "<i4").tolist() == lib.encode(t)
+
+
 def test_queries_on_odd_rows(docs, empty, rows):
     counts = token_counts(docs, tokenizer("byte_bpe_50k.json")).collect()
     assert len(counts) == len(rows) and {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in counts}[300] == (0, 0, False)
