@@ -120,7 +120,7 @@ class Compiler(PathMixin):
         if part.rows is None:
             bound = any(not isinstance(x, Var) for (s, _, o), p in triples for x, t in ((s, p.subject), (o, p.object)) if t.const is None)
             return self.catalog.size(part.source) * (0.1 if bound else 1.0)
-        (s, _, o), rows = triples[0][0], 64.0 * part.rows
+        (s, _, o), rows = triples[0][0], ROW_BYTES * part.rows
         return rows / (max(1, part.subjects or 1) if not isinstance(s, Var) else 1) / (max(1, part.objects or 1) if not isinstance(o, Var) else 1)
 
     def scans(self, t: tuple, found: list[Partition], graphs: Graphs) -> list[Rel]:
@@ -197,8 +197,8 @@ class Compiler(PathMixin):
                 p = found[0]
                 stars.setdefault((t[0], p.source, p.subject, p.graph if graphs.var or graphs.one else None, p.graphs), []).append((t, p))
             else:
-                rels.append(union(self.scans(t, found, graphs)))
-        rels += [self.scan(star, graphs) for star in stars.values()]
+                rels.append(replace(union(self.scans(t, found, graphs)), keys=_keys(t, found)))
+        rels += [replace(self.scan(star, graphs), keys=_keys(star[0][0], [star[0][1]])) for star in stars.values()]
         return self.joined(rels)
 
     def _narrow(self, choices: list[tuple[tuple, list[Partition]]]) -> None:
@@ -223,13 +223,14 @@ class Compiler(PathMixin):
                                 found, changed = kept, True
 
     def joined(self, rels: list[Rel]) -> Rel:
+        """From the smallest on, next what makes the smallest result: a join by a key of one side is no larger than the other, any other may be a product."""
         rels = sorted(rels, key=lambda r: r.size)
         out = rels.pop(0)
         while rels:
             linked = [r for r in rels if set(r.vt) & set(out.vt)]
-            nxt = (linked or rels)[0]
+            nxt = min(linked or rels, key=lambda r: _joined_size(out, r))
             rels.remove(nxt)
-            out = join(out, nxt)
+            out = replace(join(out, nxt), size=_joined_size(out, nxt), keys=_joined_keys(out, nxt))
         return out
 
     # -- patterns ------------------------------------------------------------------------------------------------------
@@ -647,6 +648,39 @@ def _meet(a: TermMap, b: TermMap) -> bool:
     return a.prefix is None or b.prefix is None or a.prefix.startswith(b.prefix) or b.prefix.startswith(a.prefix)
 
 
+#: About so many bytes are a row, in estimates.
+ROW_BYTES = 64.0
+#: Where so large a share of the triples have subjects (objects) of their own, these count as keys.
+NEARLY_ALL = 0.9
+
+
+def _keys(t: tuple, found: list[Partition]) -> tuple[frozenset[str], ...]:
+    """The variables of a triple that tell its rows. A subject that stands in several partitions counts as telling them."""
+    s, p, o = t
+    if isinstance(p, Var):
+        return ()
+    known = all(x.rows is not None for x in found)
+    rows = sum(x.rows or 0 for x in found)
+    alone = lambda term, unique: [frozenset({term.name} if isinstance(term, Var) else ())] if unique else []
+    subject = all(x.unique for x in found) or known and sum(x.subjects or 0 for x in found) >= NEARLY_ALL * rows
+    return tuple(alone(s, subject) + alone(o, known and sum(x.objects or 0 for x in found) >= NEARLY_ALL * rows))
+
+
+def _told(a: Rel, b: Rel) -> bool:
+    """Whether a row of a meets one row of b at most, or few."""
+    return any(k <= set(a.vt) for k in b.keys)
+
+
+def _joined_size(a: Rel, b: Rel) -> float:
+    found = [x.size for x, y in ((a, b), (b, a)) if _told(x, y)]
+    return min(found) if found else a.size * max(b.size / ROW_BYTES, 1.0)
+
+
+def _joined_keys(a: Rel, b: Rel) -> tuple[frozenset[str], ...]:
+    kept = (a.keys if _told(a, b) else ()) + (b.keys if _told(b, a) else ())
+    return tuple(dict.fromkeys(kept)) or tuple(dict.fromkeys(x | y for x in a.keys for y in b.keys))
+
+
 def _linked(triples: list[tuple]) -> list[list[tuple]]:
     """Triples in groups that share no variable."""
     groups: list[tuple[set, list]] = []

@@ -21,6 +21,7 @@ class Rel:
     df: DataFrame
     vt: dict[str, VT]
     size: float = 1e9  # bytes, roughly: for the order of joins
+    keys: tuple[frozenset[str], ...] = ()  # variables that together tell a row, or nearly so: for the order of joins
 
     def e(self, name: str, prefix: str = "") -> E | None:
         return E(F.col(f"`{prefix}{name}`"), self.vt[name]) if name in self.vt else None
