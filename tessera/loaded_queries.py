@@ -47,7 +47,7 @@ def customers(spark: SparkSession, sf_dir: str) -> QuadStore:
     if key not in _stores:
         folder = shared_folder(spark)
         _customer_quads(spark, sf_dir).write.text(f"{folder}/customers.nq")
-        _stores[key] = load_quads(spark, [(f"{folder}/customers.nq", GRAPH)], f"{folder}/store", buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+        _stores[key] = load_quads(spark, [(f"{folder}/customers.nq", GRAPH)], f"{folder}/store")
     return QuadStore.open(spark, _stores[key])
 
 

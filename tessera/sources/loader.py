@@ -88,14 +88,20 @@ def load_quads(spark: SparkSession, files: list[tuple[str, str]] | str, out: str
     return out
 
 
-#: About so many quads go to a bucket.
-BUCKET_QUADS, MOST_BUCKETS = 4_000_000, 10_000
+#: So many quads at most go to a bucket, on average: a task sorts one bucket's quads, so this bounds its memory. Small loads get smaller buckets, one for each of the session's
+#: shuffle partitions, but none of under LEAST_QUADS.
+BUCKET_QUADS, LEAST_QUADS, MOST_BUCKETS = 250_000, 20_000, 10_000
+
+
+def bucket_count(quads: int, parts: int) -> int:
+    needed = lambda size: -(-quads // size)
+    return max(1, min(MOST_BUCKETS, max(needed(BUCKET_QUADS), min(parts, needed(LEAST_QUADS)))))
 
 
 def write_partitions(quads: DataFrame, path: str, strict: bool, codec: str, buckets: int | None = None) -> None:
-    """One shuffle by triple makes the sets of graphs; the rows then go to their buckets, and there to their partitions' folders."""
+    """One shuffle takes the quads to their buckets; there the sets of graphs are made, and the rows go to their partitions' folders."""
     spark = quads.sparkSession
-    n = buckets or max(1, min(MOST_BUCKETS, -(-quads.count() // BUCKET_QUADS)))
+    n = buckets or bucket_count(quads.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bad = (F.col("g").isNull()) | ~F.col("g").rlike(f"^{IRI.pattern}$")
     if strict:
         quads = quads.withColumn("g", F.when(~bad, F.col("g")).otherwise(F.raise_error(F.concat(F.lit("a graph must be an IRI: "), F.coalesce("g", F.lit("null")))).cast("string")))
@@ -112,7 +118,10 @@ def write_partitions(quads: DataFrame, path: str, strict: bool, codec: str, buck
     checked = F.when(F.col("o_wide"), F.trim(value)).when(typed, native).otherwise(value)
     if strict:
         checked = F.when(typed & ~F.col("o_wide") & native.isNull(), F.raise_error(F.concat(F.lit("not a value of "), F.col("o_dt"), F.lit(": "), value)).cast("string")).otherwise(checked)
-    quads = quads.withColumn("o", checked).where("o is not null")
+    # a value that is none is an error, or its row goes; the count of buckets holds whatever Spark makes of the sizes
+    quads = quads.where("o_lex is not null").repartition(n, "s").withColumn("o", checked)
+    if not strict:
+        quads = quads.where("o is not null")
     key = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang", "o_wide"]
     triples = quads.groupBy(*key).agg(F.sort_array(F.collect_set("g")).alias("g"))
     part = F.concat(F.lit("x"), F.substring(F.md5(F.concat_ws("\x1f", "p", "s_kind", "o_kind", F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit("")), F.when(F.col("o_wide"), F.lit("wide")).otherwise(F.lit(""))).cast("binary")), 1, 16))
@@ -121,7 +130,7 @@ def write_partitions(quads: DataFrame, path: str, strict: bool, codec: str, buck
     columns = [F.when((F.col("o_dt") == dt) & ~F.col("o_wide"), F.col("o").try_cast(kind)).alias(native_columns()[dt]) for dt, kind in natives.items()]
     rows = triples.select("s", "s_kind", "p", F.when(~by_value, F.col("o")).alias("o_text"), *columns, "o_kind", "o_dt", "o_lang", "o_wide", "g", part.alias("part"))
     name = f"tessera_{uuid.uuid4().hex}"
-    writer = rows.repartition(n, "s").write.mode("overwrite").format("parquet").option("path", path).option("compression", codec)
+    writer = rows.write.mode("overwrite").format("parquet").option("path", path).option("compression", codec)
     writer = writer.option("parquet.bloom.filter.enabled#o_text", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     # the files outlive the name
     writer.partitionBy("part").bucketBy(n, "s").sortBy("s", "o_text").saveAsTable(name)

@@ -1,6 +1,10 @@
 """Steps whose cost must not grow faster than their input."""
 
+import json
+
+import tessera.loaded_queries as loaded
 import tessera.plans.compiler as compiler
+import tessera.sources.loader as loader
 from tessera.queries import PREFIXES, QUERIES
 from tessera.store import QuadStore
 
@@ -15,3 +19,19 @@ def test_joins_by_key_come_before_products(spark, monkeypatch):
     monkeypatch.setattr(compiler, "join", noted)
     QuadStore.tables(spark, "/root/testdata/sf0.01").sparql(PREFIXES + QUERIES["join_two_shared"][0])
     assert len(shared) == 3 and {"n"} not in shared  # suppliers and customers of one nation
+
+
+def test_lines_of_one_file_stay_in_their_splits(spark, tmp_path):
+    (tmp_path / "a.nq").write_text("<http://e/a> <http://e/p> <http://e/b> .\n")
+    df = loader.read_quads(spark, [(str(tmp_path / "a.nq"), "http://e/g")])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan  # by file, these take all its lines to one task
+    assert [r["g"] for r in df.collect()] == ["http://e/g"]
+
+
+def test_buckets_hold_a_bounded_number_of_quads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(loaded, "_stores", {})
+    monkeypatch.setattr(loader, "BUCKET_QUADS", 1000)
+    store = loaded.customers(spark, "/root/testdata/sf0.01")
+    buckets = json.loads("".join(r["value"] for r in spark.read.text(f"{next(iter(loaded._stores.values()))}/catalog").collect()))["buckets"]
+    assert buckets >= -(-store.size() // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
