@@ -247,7 +247,10 @@ class Compiler(PathMixin):
             parts = self._flat(p)
             if all(x[0] in ("bgp", "path") for x in parts):
                 return self.with_paths(parts, g, known or [])
-            return join(self.pattern(p[1], g), self.pattern(p[2], g))
+            # triples that stand apart, as after an OPTIONAL, are joined with each other before the rest, which may share few of their variables
+            triples = [x for x in parts if x[0] in ("bgp", "path")]
+            rels = [self.pattern(x, g) for x in parts if x[0] not in ("bgp", "path")]
+            return self.joined(rels + ([self.with_paths(triples, g, known or [])] if triples else []))
         if kind == "left":
             a, b = self.pattern(p[1], g), self.pattern(p[2], g)
             extra = None
@@ -284,6 +287,8 @@ class Compiler(PathMixin):
     def with_paths(self, parts: list[tuple], g: Graphs, known: list) -> Rel:
         """Triples first, those linked by variables together; a repeated path starts from the nodes that they leave for one of its ends."""
         rels, later = [], []
+        for triples in _linked([self._bound(t) for x in parts if x[0] == "bgp" for t in x[1]]):
+            rels.append((self.bgp(triples, g), {y.name for t in triples for y in (t[0], t[2]) if isinstance(y, Var)}))
         for x in parts:
             if x[0] == "path":
                 s, _, o = self._bound((x[1], None, x[3]))
@@ -291,9 +296,6 @@ class Compiler(PathMixin):
                     later.append((s, x[2], o))
                 else:
                     rels.append((self.path(s, x[2], o, g), set()))
-                continue
-            for triples in _linked([self._bound(t) for t in x[1]]):
-                rels.append((self.bgp(triples, g), {y.name for t in triples for y in (t[0], t[2]) if isinstance(y, Var)}))
         if not rels and not later:
             return unit(self.spark)
         for i, (r, nodes) in enumerate(rels):

@@ -21,6 +21,19 @@ def test_joins_by_key_come_before_products(spark, monkeypatch):
     assert len(shared) == 3 and {"n"} not in shared  # suppliers and customers of one nation
 
 
+def test_triples_after_an_optional_are_joined_with_each_other_first(spark, monkeypatch):
+    made, shared = compiler.join, []
+
+    def noted(a, b, *args):
+        shared.append((set(a.vt) & set(b.vt), args[:1]))
+        return made(a, b, *args)
+
+    monkeypatch.setattr(compiler, "join", noted)
+    df = QuadStore.tables(spark, "/root/testdata/sf0.01").sparql(PREFIXES + QUERIES["optional_then_join"][0])
+    assert all("d" in names for names, _ in shared) and any(how == ("left",) for _, how in shared)  # of one quality are half of all
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lines_of_one_file_stay_in_their_splits(spark, tmp_path):
     (tmp_path / "a.nq").write_text("<http://e/a> <http://e/p> <http://e/b> .\n")
     df = loader.read_quads(spark, [(str(tmp_path / "a.nq"), "http://e/g")])
