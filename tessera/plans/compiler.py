@@ -35,6 +35,7 @@ class Compiler(PathMixin):
     def __init__(self, spark: SparkSession, catalog: Catalog, base: str = "", bindings: dict | None = None):
         self.spark, self.catalog, self.base, self.bindings = spark, catalog, base, bindings or {}
         self.marks = 0
+        self.unused: set[str] = set()
 
     # -- scans ---------------------------------------------------------------------------------------------------------
 
@@ -132,7 +133,10 @@ class Compiler(PathMixin):
         for p in found:
             together = isinstance(s, (Var, Iri)) and isinstance(o, Var) and not (isinstance(s, Var) and s.name == o.name) and not (isinstance(t[1], Var) and t[1].name in (o.name, getattr(s, "name", None)))
             groups.setdefault((p.source, p.subject, p.graph, p.graphs) if together else (id(p),), []).append(p)
-        return [self.scan([(t, g[0])], graphs) if len(g) == 1 else self.scan_rows(t, g, graphs) for g in groups.values()]
+        found = [self.scan([(t, g[0])], graphs) if len(g) == 1 else self.scan_rows(t, g, graphs) for g in groups.values()]
+        if isinstance(t[1], Var):  # it is used, so a column stays
+            found = [r.keep([n for n in r.vt if n not in self.unused]) for r in found]
+        return found
 
     def scan_whole(self, t: tuple, found: list[Partition], graphs: Graphs) -> Rel:
         """One read of a loaded store's files for many of its partitions; objects of several types come as poly."""
@@ -162,7 +166,7 @@ class Compiler(PathMixin):
         df = self.catalog.frame(first.source)
         pairs = []
         for x, e in zip(parts, objects):
-            held = to(e, vt)
+            held = F.when(e.col.isNotNull(), F.lit(True)) if o.name in self.unused else to(e, vt)
             held = F.when(F.expr(x.where), held) if x.where else held
             pairs.append(F.struct(F.lit(x.predicate).alias("p"), held.alias("o")))
         wide = df.withColumn("__pairs", F.array(*pairs))
@@ -431,7 +435,9 @@ class Compiler(PathMixin):
 
     def solutions(self, q: Query, g: Graphs) -> Rel:
         """Everything from WHERE to LIMIT."""
+        self.unused = _unused(q)
         r = self.pattern(q.where, g)
+        self.unused = set()
         if q.values:
             r = join(r, self.inline(q.values[1], q.values[2]))
         shown = [v.name for v, _ in q.items] or [n for n in variables(q.where) if not n.startswith("__")]
@@ -714,6 +720,18 @@ def _has_exists(e) -> bool:
     return bool(_find_exists(e))
 
 
+def _unused(q: Query) -> set[str]:
+    """Subjects and objects of triples with a variable for predicate of which a query of triples alone asks only that they are there."""
+    shown = [e if e is not None else v for v, e in q.items]
+    exprs = shown + [e for e, _ in q.group] + q.having + [e for e, _ in q.order]
+    if q.form != "SELECT" or q.where[0] != "bgp" or not q.items or q.values or _has_exists(exprs) or any(a[2] and a[3] is None for a in _find_aggregates(exprs)):
+        return set()
+    stand = [x.name for t in q.where[1] for x in t if isinstance(x, Var)]
+    used = {n for e in exprs for n in mentioned(e)} | {t[1].name for t in q.where[1] if isinstance(t[1], Var)}
+    loose = {x.name for t in q.where[1] if isinstance(t[1], Var) for x in (t[0], t[2]) if isinstance(x, Var)}
+    return {n for n in loose if stand.count(n) == 1 and n not in used}
+
+
 def _find_aggregates(e) -> list:
     if isinstance(e, tuple):
         found = [e] if e[0] == "agg" else [y for x in e for y in _find_aggregates(x)]

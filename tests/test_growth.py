@@ -48,3 +48,16 @@ def test_buckets_hold_a_bounded_number_of_quads(spark, tmp_path, monkeypatch):
     store = loaded.customers(spark, "/root/testdata/sf0.01")
     buckets = json.loads("".join(r["value"] for r in spark.read.text(f"{next(iter(loaded._stores.values()))}/catalog").collect()))["buckets"]
     assert buckets >= -(-store.size() // 1000) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_values_that_are_only_counted_are_not_made(spark):
+    store = QuadStore.tables(spark, "/root/testdata/sf0.001")
+    df = store.sparql("SELECT ?p (COUNT(*) AS ?c) WHERE { ?s ?p ?o } GROUP BY ?p")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_format" not in plan and "kind," not in plan and "concat_ws" not in plan
+    wanted = {r["p"]: r["c"] for r in df.collect()}
+    assert {r["p"]: r["c"] for r in store.sparql("SELECT ?p (COUNT(?o) AS ?c) WHERE { ?s ?p ?o } GROUP BY ?p").collect()} == wanted
+    assert {r["p"]: r["c"] for r in store.sparql("SELECT ?p (COUNT(?s) AS ?c) WHERE { ?s ?p ?o } GROUP BY ?p").collect()} == wanted
+    assert len(store.sparql("SELECT DISTINCT ?p WHERE { ?s ?p ?o }").collect()) == len(wanted)
+    few = "FROM <http://ex.org/g/nation> FROM <http://ex.org/g/region>"
+    assert sum(r["c"] for r in store.sparql(f"SELECT ?p (COUNT(DISTINCT *) AS ?c) {few} WHERE {{ ?s ?p ?o }} GROUP BY ?p").collect()) == store.sparql(f"SELECT ?s ?p ?o {few} WHERE {{ ?s ?p ?o }}").count()
