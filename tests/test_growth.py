@@ -37,7 +37,12 @@ def test_triples_after_an_optional_are_joined_with_each_other_first(spark, monke
 def test_lines_of_one_file_stay_in_their_splits(spark, tmp_path):
     (tmp_path / "a.nq").write_text("<http://e/a> <http://e/p> <http://e/b> .\n")
     df = loader.read_quads(spark, [(str(tmp_path / "a.nq"), "http://e/g")])
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the lines were many
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan  # by file, these take all its lines to one task
     assert [r["g"] for r in df.collect()] == ["http://e/g"]
 
